@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from strandex.llm import simhash
+from strandex.llm import exact, mixing, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op3_exact": exact.op3_exact,
+        "op7_shard": sharding.op7_shard,
+        "op8_mix": mixing.op8_mix,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op3_exact": exact.SQL,
+        "op8_mix": mixing.SQL,
+    }
