@@ -29,14 +29,16 @@ class Trees:
         return out
 
 
-def train(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.25, bins: int = 24, ridge: float = 1.0) -> Trees:
+def train(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.25, bins: int = 24, ridge: float = 1.0, columns: float = 0.4, seed: int = 1) -> Trees:
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
     binned = np.array([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T)])
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     base = float(np.log(share / (1 - share)))
     logit = np.full(len(y), base)
     features, cuts, leaves = [], [], []
+    rnd = np.random.default_rng(seed)
     for _ in range(rounds):
+        seen = np.flatnonzero(rnd.random(len(edges)) < columns)  # so that no cue stands for all others
         p = 1 / (1 + np.exp(-logit))
         g, h = y - p, p * (1 - p)
         node = np.zeros(len(y), dtype=np.int64)
@@ -45,7 +47,7 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate:
             n = 1 << level
             best = np.full(n, 1e-9)
             all_g, all_h = np.bincount(node, g, n), np.bincount(node, h, n)
-            for f in range(len(edges)):
+            for f in seen:
                 width = len(edges[f]) + 1
                 if width < 2:
                     continue

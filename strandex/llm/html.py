@@ -16,7 +16,7 @@ from strandex.llm import boosting
 from strandex.llm.common import table
 
 #: Training pages, which are invented, and their seed.
-PAGES, SEED = 1500, 5
+PAGES, SEED = 1200, 5
 
 # Fixed values of HTML.
 _RAW = frozenset("script style textarea title noscript template iframe noframes xmp svg math object select".split())
@@ -336,7 +336,7 @@ def invent(rnd: random.Random) -> str:
         return "".join(boiler(k) for k in kinds if rnd.random() < 0.6)
 
     mark = "\x01"
-    brief = rnd.random() < 0.25  # main text that is shorter than what surrounds it
+    brief = rnd.random() < 0.4  # main text that is shorter than what surrounds it
     if brief:
         whole = prose
         prose = lambda low, high: sentence(1, 9)
@@ -398,7 +398,7 @@ def default_model(pages: int = PAGES, seed: int = SEED) -> boosting.Trees:
             node.runs = [(r.replace("\x01", ""), link) for r, link in node.runs]
         xs.append(features(nodes))
         ys += [good[id(node)] for node in nodes]
-    return boosting.train(np.vstack(xs), np.array(ys, dtype=np.float64), rounds=80, depth=5)
+    return boosting.train(np.vstack(xs), np.array(ys, dtype=np.float64), rounds=100, depth=4)
 
 
 def extract(pages: DataFrame, model: boosting.Trees | None = None, id_col: str = "page_id", html_col: str = "html", out: str = "text", batch: int = 256) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from strandex.llm import exact, mixing, sharding, simhash
+from strandex.llm import decontaminate, exact, html, mixing, quality, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op3_exact": exact.op3_exact,
+        "op4_decontaminate": decontaminate.op4_decontaminate,
         "op7_shard": sharding.op7_shard,
         "op8_mix": mixing.op8_mix,
+        "op9_quality": quality.op9_quality,
+        "op10_extract": html.op10_extract,
     }
 
 
