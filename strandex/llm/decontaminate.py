@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandex.llm.common import cut, table
@@ -17,6 +18,7 @@ MIN_MATCH = 5
 COVERAGE = 0.8
 #: Characters of benchmark items in a block, and blocks that a task holds at once.
 BLOCK_CHARS, BLOCKS = 4 << 20, 8
+_LEAKS = "array<struct<item_id:long,coverage:double,tiles:int>>"
 _TOKEN = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -137,6 +139,14 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
+def _finder(index: Broadcast, coverage: float):
+    def leaks(texts: pd.Series) -> pd.Series:
+        found = ([x for x in coverages(t, index.value) if x[1] >= coverage] for t in texts)
+        return pd.Series([[{"item_id": i, "coverage": c, "tiles": n} for i, c, n in x] for x in found], dtype=object)
+
+    return F.pandas_udf(leaks, _LEAKS)
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, out: str = "leaks"
 ) -> DataFrame:
@@ -148,16 +158,10 @@ def contamination(
     taken in blocks of BLOCK_CHARS, each sent to all tasks, and after every BLOCKS of them the rows are kept in the
     shared folder, so a benchmark of any size is matched with bounded memory.
     """
-    spec = "array<struct<item_id:long,coverage:double,tiles:int>>"
-    rows = docs.withColumn(out, F.array().cast(spec))
+    rows = docs.withColumn(out, F.array().cast(_LEAKS))
     for n, block in enumerate(_blocks(benchmark)):
         index = docs.sparkSession.sparkContext.broadcast(Index(block, min_match))  # bounded by BLOCK_CHARS
-
-        @F.pandas_udf(spec)
-        def leaks(texts: pd.Series, index=index) -> pd.Series:
-            return pd.Series([[x for x in coverages(t, index.value) if x[1] >= coverage] for t in texts])
-
-        rows = rows.withColumn(out, F.concat(out, leaks(F.col(text_col))))
+        rows = rows.withColumn(out, F.concat(out, _finder(index, coverage)(F.col(text_col))))
         if n % BLOCKS == BLOCKS - 1:
             rows = cut(rows)
     return rows

@@ -9,7 +9,7 @@ from functools import lru_cache
 from html import unescape
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandex.llm import boosting
@@ -411,18 +411,14 @@ def extract(pages: DataFrame, model: boosting.Trees | None = None, id_col: str =
     """
     model = model or default_model()
 
-    @F.pandas_udf("string")
-    def texts(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for html in batches:
             found: list[str] = []
             for at in range(0, len(html), batch):
                 found += main_texts(html.iloc[at : at + batch].tolist(), model)
             yield pd.Series(found, dtype=object)
 
-    texts.__annotations__ = {}
-    return pages.withColumn(out, texts(F.col(html_col)))
+    return pages.withColumn(out, F.pandas_udf(texts, "string")(F.col(html_col)))
 
 
 def op10_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

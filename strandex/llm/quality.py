@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -240,16 +241,10 @@ def _extract_judged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with a score in [0, 1] of each whole text; null text scores as an empty one. No shuffle."""
 
-    @F.pandas_udf("double")
-    def judge(texts):
-        return _series([features(t) for t in texts])
+    def judge(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([features(t) for t in texts], dtype=np.float64).reshape(-1, N_FEATURES)))
 
-    def _series(rows):
-        import pandas as pd
-
-        return pd.Series(model.score(np.array(rows, dtype=np.float64).reshape(-1, N_FEATURES)))
-
-    return docs.withColumn(out, judge(F.col(text_col)))
+    return docs.withColumn(out, F.pandas_udf(judge, "double")(F.col(text_col)))
 
 
 def good_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
