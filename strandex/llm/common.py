@@ -11,12 +11,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the folder that the cluster shares, so a lost executor loses none of it.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; only where it is unset, as in tests, one is made."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return named or spark.sparkContext.getCheckpointDir()
+
 
-    ``spark.checkpoint.dir`` names that folder; only where it is unset, as in tests, one is made.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept in the folder that the cluster shares, so a lost executor loses none of it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

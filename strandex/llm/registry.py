@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandex.llm import chat, decontaminate, exact, html, licence, mixing, quality, sharding, simhash
+from strandex.llm import chat, decontaminate, exact, html, licence, lines, mixing, quality, sharding, simhash
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_licence": licence.op2_licence,
         "op3_exact": exact.op3_exact,
         "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op5_lines": lines.op5_lines,
         "op6_preferences": chat.op6_preferences,
         "op7_shard": sharding.op7_shard,
         "op8_mix": mixing.op8_mix,
