@@ -1,11 +1,605 @@
-"""Registry of the engine's queries and of their SQL."""
+"""The engine's queries over the shared test tables, and their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from strandex.functions import hashing, sequence
+from strandex.operators import classify, domains, index, minimizers, reports, taxonomy
+from strandex.operators.common import settle
+from strandex.plans import sql, tables
+from strandex.sources import archives, fastx
+
+_QUERIES: dict = {}
+_SQL: dict = {}
+
+
+def query(text: str | None = None):
+    def keep(f):
+        _QUERIES[f.__name__] = f
+        if text:
+            _SQL[f.__name__] = text
+        return f
+
+    return keep
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_SQL)
+
+
+# -- shared steps
+
+
+def _tree(spark, sf):
+    paths = settle(taxonomy.lineages(tables.nodes(spark, sf)))
+    return paths, taxonomy.rollup(paths, tables.targets(spark, sf))
+
+
+def _acc(spark, sf) -> DataFrame:
+    return tables.dna(spark, sf).select("accession", "taxid")
+
+
+def _index(spark, sf) -> DataFrame:
+    docs = tables.dna(spark, sf).select("accession", "seq")
+    return settle(index.build(docs, _acc(spark, sf), tables.nodes(spark, sf), tables.targets(spark, sf)))
+
+
+def _own(spark, sf, rolled) -> DataFrame:
+    return index.target_accessions(_acc(spark, sf), rolled)
+
+
+def _sets(spark, sf):
+    paths, rolled = _tree(spark, sf)
+    ids = index.accession_ids(_own(spark, sf, rolled), paths)
+    built = _index(spark, sf)
+    return built, ids, index.accession_sets(tables.dna(spark, sf).select("accession", "seq"), built, ids)
+
+
+def _pairs(spark, sf) -> DataFrame:
+    return domains.domain_minimizers(tables.dna(spark, sf).select("domain", "seq"))
+
+
+def _closure(spark, sf, built) -> DataFrame:
+    paths = taxonomy.lineages(tables.nodes(spark, sf))
+    return taxonomy.closure(paths, taxonomy.index_taxa(built.select("taxid").distinct()))
+
+
+def _found(spark, sf, fallback: bool):
+    built = _index(spark, sf)
+    runs = minimizers.read_runs(tables.reads(spark, sf))
+    other = domains.fallback(_pairs(spark, sf)) if fallback else None
+    return built, settle(classify.lookup(runs, built, other))
+
+
+def _decided(spark, sf, fallback: bool = False):
+    built, found = _found(spark, sf, fallback)
+    some = classify.classify(classify.hit_weights(found), _closure(spark, sf, built), fallback)
+    return built, found, classify.all_reads(tables.dna(spark, sf), some)
+
+
+def _names(spark, sf) -> DataFrame:
+    return index.core_names(tables.names(spark, sf))
+
+
+# -- projections
+
+
+@query(f"WITH {sql.DNA} SELECT read_id, regexp_replace(translate(upper(seq), 'ACGT', '0123'), '[^0123]', '.', 'g') AS codes FROM dna")
+def base_codes(spark, sf):
+    return tables.dna(spark, sf).select("read_id", sequence.base_codes(F.col("seq")).alias("codes"))
+
+
+@query(f"WITH {sql.DNA}, {sql.DOCS}, {sql.lmers('docs', 'm', 31)} SELECT id AS read_id, CASE WHEN f IS NOT NULL THEN least(f, r) END AS code, CASE WHEN f IS NOT NULL THEN cand END AS candidate FROM m WHERE pos = 0")
+def lmer_canonical(spark, sf):
+    """The canonical code of the first 31-mer of each record, and what a window would compare."""
+    first = F.substr("seq", F.lit(1), F.lit(31))
+    docs = tables.dna(spark, sf).where("seq <> ''")
+    return docs.select("read_id", F.when(F.length(first) == 31, sequence.canonical(first)).alias("code"), F.when(F.length(first) == 31, sequence.candidate(first)).alias("candidate"))
+
+
+@query(f"WITH {sql.DNA} SELECT read_id, reverse(translate(upper(seq), 'ACGT', 'TGCA')) AS rc FROM dna")
+def reverse_complement(spark, sf):
+    return tables.dna(spark, sf).select("read_id", sequence.reverse_complement(F.col("seq")).alias("rc"))
+
+
+@query(f"WITH {sql.DNA}, {sql.DOCS}, {sql.windows('docs', 'w')} SELECT id AS read_id, count(*) AS windows, count(minimizer) AS with_one, count(DISTINCT minimizer) AS different, min(minimizer) AS least, max(minimizer) AS greatest, bit_xor(minimizer) AS mixed FROM w GROUP BY id")
+def minimizer_scan(spark, sf):
+    runs = tables.dna(spark, sf).select("read_id", F.explode(minimizers.runs("seq")).alias("r")).select("read_id", "r.*")
+    odd = F.when((F.col("len") % 2 == 1), F.col("minimizer"))
+    one = F.when(F.col("minimizer").isNotNull(), F.col("len")).otherwise(0)
+    return runs.groupBy("read_id").agg(
+        F.sum("len").alias("windows"), F.sum(one).alias("with_one"), F.countDistinct("minimizer").alias("different"),
+        F.min("minimizer").alias("least"), F.max("minimizer").alias("greatest"), F.when(F.count("minimizer") > 0, F.coalesce(F.bit_xor(odd), F.lit(0))).alias("mixed"),
+    )
+
+
+@query(f"WITH {sql.DNA}, {sql.DOCS}, {sql.windows('docs', 'w', 15, 11)}, {sql.runs('w', 'r')} SELECT id AS read_id, run_no, minimizer, len FROM r")
+def minimizer_runs(spark, sf):
+    """Runs with windows of 15 bases and l-mers of 11."""
+    docs = tables.dna(spark, sf)
+    return docs.select("read_id", F.posexplode(minimizers.runs("seq", 15, 11)).alias("run_no", "r")).select("read_id", F.col("run_no").cast("long").alias("run_no"), "r.minimizer", F.col("r.len").cast("long").alias("len"))
+
+
+@query(f"WITH {sql.DNA}, n AS (SELECT read_id, seq, unnest(range(0, CAST(floor(greatest(length(seq) - 35, 0) / 466) AS BIGINT) + 1)) * 466 AS start FROM dna) SELECT read_id, CAST(start AS INTEGER) AS start, substr(seq, start + 1, 500) AS bases FROM n")
+def segments(spark, sf):
+    cut = sequence.segments(F.col("seq"), 35, 500)
+    return tables.dna(spark, sf).select("read_id", F.inline(cut)).select("read_id", F.col("start").cast("int").alias("start"), "bases")
+
+
+_MASKED = "regexp_replace(text, '[a-z]', 'x', 'g')"
+
+
+@query(f"SELECT doc_id, {_MASKED} AS masked FROM documents")
+def mask_lowercase(spark, sf):
+    return tables.table(spark, sf, "documents").select("doc_id", sequence.mask_lower(F.col("text")).alias("masked"))
+
+
+@query(f"WITH {sql.DNA} SELECT read_id, regexp_extract(header, '^\\s*(\\S*)', 1) AS token FROM dna")
+def first_token(spark, sf):
+    return tables.dna(spark, sf).select("read_id", sequence.first_token(F.col("header")).alias("token"))
+
+
+@query(f"WITH {sql.DNA} SELECT read_id, regexp_replace(regexp_replace(seq, '(.{{80}})', '\\1\n', 'g'), '\n$', '') AS wrapped FROM dna")
+def wrap(spark, sf):
+    return tables.dna(spark, sf).select("read_id", sequence.wrap(F.col("seq")).alias("wrapped"))
+
+
+@query("SELECT page_id, CAST(CASE WHEN page_id % 3 = 0 THEN page_id END AS BIGINT) AS taxid FROM pages")
+def header_taxid(spark, sf):
+    """Taxids that headers carry themselves: a third of the pages' ids, written into a header."""
+    token = F.concat(F.when(F.col("page_id") % 3 == 0, F.lit("kraken:taxid|")).otherwise("id|"), F.col("page_id"), F.lit("|seq"))
+    return tables.table(spark, sf, "pages").select("page_id", sequence.header_taxid(token).alias("taxid"))
+
+
+@query("WITH u AS (SELECT page_id, regexp_replace(regexp_replace(url, '^(https?|ftp)://[^/]*', ''), '/+$', '') AS p FROM pages) SELECT page_id, p || '/' || string_split(p, '/')[-1] || '_genomic.fna.gz' AS path FROM u")
+def archive_path(spark, sf):
+    return tables.table(spark, sf, "pages").select("page_id", sequence.archive_path(F.col("url")).alias("path"))
+
+
+# -- hashes: DuckDB multiplies in 128 bits
+
+_M = "18446744073709551616"
+
+
+def _u(x: str) -> str:
+    return f"CAST({x} AS UHUGEINT)"
+
+
+def _mul(x: str, f: int) -> str:
+    return f"CAST((({_u(x)} * CAST({f & 0xFFFFFFFF} AS UHUGEINT)) + (({_u(x)} * CAST({f >> 32} AS UHUGEINT)) % 4294967296) * 4294967296) % CAST({_M} AS UHUGEINT) AS UBIGINT)"
+
+
+_KEYS = "keys AS (SELECT CAST(l_orderkey * 1000003 + l_linenumber * 7919 + l_partkey AS UBIGINT) AS x0 FROM lineitem)"
+
+
+def _mix(steps: list, start: str) -> tuple[str, str]:
+    """CTEs of a mixer over ``keys``: each step folds by a shift and multiplies."""
+    out, at = [], start
+    for i, (shift, factor) in enumerate(steps):
+        name = f"{start}{i + 1}"
+        out.append(f"{name}f AS (SELECT x0, xor(x, x >> {shift}) AS x FROM {at})")
+        out.append(f"{name} AS (SELECT x0, {_mul('x', factor) if factor else 'x'} AS x FROM {name}f)")
+        at = name
+    return ", ".join(out), at
+
+
+_FP, _FP_AT = _mix([(33, hashing.FIRST), (33, 0)], "a")
+_FMIX, _FMIX_AT = _mix([(33, hashing.FIRST), (33, hashing.SECOND), (33, 0)], "a")
+_BLOOM, _BLOOM_AT = _mix([(31, hashing.SMALL_FIRST), (13, hashing.SMALL_SECOND), (16, 0)], "b")
+_START = "a AS (SELECT x0, x0 AS x FROM keys), b AS (SELECT x0, x0 AS x FROM keys)"
+
+
+def _signed(x: str) -> str:
+    return f"CAST(CASE WHEN {x} >= 9223372036854775808 THEN CAST({x} AS HUGEINT) - {_M} ELSE CAST({x} AS HUGEINT) END AS BIGINT)"
+
+
+def _keys(spark, sf) -> DataFrame:
+    x = F.col("l_orderkey") * 1000003 + F.col("l_linenumber") * 7919 + F.col("l_partkey")
+    return tables.table(spark, sf, "lineitem").select(x.cast("long").alias("x"))
+
+
+@query(f"WITH {_KEYS}, {_START}, {_FP} SELECT CAST(x0 AS BIGINT) AS x, CAST(x & 65535 AS BIGINT) AS fp16, CAST(x & 4294967295 AS BIGINT) AS fp32 FROM {_FP_AT}")
+def fingerprint(spark, sf):
+    x = F.col("x")
+    return _keys(spark, sf).select("x", hashing.fingerprint(x, 16).alias("fp16"), hashing.fingerprint(x, 32).alias("fp32"))
+
+
+@query(f"WITH {_KEYS}, {_START}, {_FMIX} SELECT CAST(x0 AS BIGINT) AS x, {_signed('x')} AS h FROM {_FMIX_AT}")
+def fmix64(spark, sf):
+    return _keys(spark, sf).select("x", hashing.fmix64(F.col("x")).alias("h"))
+
+
+@query(f"WITH {_KEYS}, {_START}, {_BLOOM}, {_FMIX}, one AS (SELECT DISTINCT x0, x FROM {_FMIX_AT}), two AS (SELECT DISTINCT x0, x FROM {_BLOOM_AT}) SELECT CAST(one.x0 AS BIGINT) AS x, {_signed('one.x')} AS h1, {_signed('(two.x | 1)')} AS h2 FROM one JOIN two ON one.x0 = two.x0")
+def bloom_hash_pair(spark, sf):
+    one, two = hashing.bloom_pair(F.col("x"))
+    return _keys(spark, sf).distinct().select("x", one.alias("h1"), two.alias("h2"))
+
+
+# -- tree
+
+
+@query(sql.with_(sql.TREE, select="SELECT taxid, array_to_string(lineage, '/') AS lineage FROM paths"))
+def lineage(spark, sf):
+    return taxonomy.lineages(tables.nodes(spark, sf)).select("taxid", F.array_join(F.col("lineage").cast("array<string>"), "/").alias("lineage"))
+
+
+@query(sql.with_(sql.TREE, select="SELECT taxid, target FROM rolled"))
+def target_rollup(spark, sf):
+    return _tree(spark, sf)[1]
+
+
+@query(sql.with_(sql.TREE, select='SELECT anc, taxid AS "desc", CAST(depth - 1 AS INTEGER) AS depth FROM steps'))
+def ancestor_closure(spark, sf):
+    paths = taxonomy.lineages(tables.nodes(spark, sf))
+    return taxonomy.closure(paths, paths)
+
+
+@query(sql.with_(sql.TREE, "s AS (SELECT o_custkey, CAST(1000 + l_suppkey AS BIGINT) AS taxid FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
+                 "d AS (SELECT DISTINCT o_custkey, taxid FROM s)", "n AS (SELECT o_custkey, count(*) AS n FROM d JOIN paths USING (taxid) GROUP BY 1)",
+                 "c AS (SELECT o_custkey, anc, max(depth) AS depth, count(*) AS k FROM d JOIN steps USING (taxid) GROUP BY ALL)",
+                 select="SELECT c.o_custkey, CAST(max_by(anc, depth) AS BIGINT) AS taxid FROM c JOIN n ON c.o_custkey = n.o_custkey AND k = n GROUP BY c.o_custkey"))
+def lca_agg(spark, sf):
+    """The lowest taxon above all suppliers of a customer's orders."""
+    rows = tables.table(spark, sf, "lineitem").join(tables.table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = rows.select("o_custkey", (F.col("l_suppkey") + 1000).cast("long").alias("taxid"))
+    return taxonomy.lca_aggregate(rows, ["o_custkey"], taxonomy.numbered(settle(taxonomy.lineages(tables.nodes(spark, sf)))))
+
+
+@query(sql.with_(sql.TREE, select="SELECT taxid, CASE WHEN list_contains(lineage, 2) THEN 'bacteria' WHEN list_contains(lineage, 2157) THEN 'archaea' WHEN list_contains(lineage, 10239) THEN 'viral' WHEN list_contains(lineage, 4751) THEN 'fungi' ELSE 'other' END AS domain FROM paths"))
+def domain_of_taxid(spark, sf):
+    return taxonomy.lineages(tables.nodes(spark, sf)).select("taxid", taxonomy.domain_of(F.col("lineage")).alias("domain"))
+
+
+# -- index
+
+
+@query(sql.with_(sql.INDEX, select="SELECT minimizer, taxid FROM lca"))
+def build_lca(spark, sf):
+    paths, rolled = _tree(spark, sf)
+    docs = tables.dna(spark, sf).join(rolled.select("taxid"), "taxid", "left_semi")
+    return index.lca_minimizers(docs.select("taxid", "seq"), taxonomy.numbered(paths))
+
+
+@query(sql.with_(sql.INDEX, select="SELECT minimizer, taxid FROM survivors"))
+def challenge(spark, sf):
+    paths, rolled = _tree(spark, sf)
+    docs = tables.dna(spark, sf)
+    own = docs.join(rolled.select("taxid"), "taxid", "left_semi").select("taxid", "seq")
+    others = docs.join(rolled.select("taxid"), "taxid", "left_anti").select("seq")
+    return index.challenge(index.lca_minimizers(own, taxonomy.numbered(paths)), others)
+
+
+@query(sql.with_(sql.INDEX, select="SELECT minimizer, CAST(taxid AS BIGINT) AS taxid FROM idx"))
+def build_index(spark, sf):
+    docs = tables.dna(spark, sf).select("accession", "seq")
+    return index.build(docs, _acc(spark, sf), tables.nodes(spark, sf), tables.targets(spark, sf))
+
+
+@query(sql.with_(sql.INDEX, select="SELECT taxid, coalesce(CASE taxid WHEN 1 THEN 'root' WHEN 2 THEN 'Bacteria' WHEN 2157 THEN 'Archaea' WHEN 4751 THEN 'Fungi' WHEN 10239 THEN 'Viruses' WHEN 131567 THEN 'cellular organisms' END, name, 'Unknown') AS name, count(*) AS minimizers, count(*) / sum(count(*)) OVER () AS ratio FROM idx LEFT JOIN taxnames USING (taxid) GROUP BY taxid, name"))
+def inspect(spark, sf):
+    return index.inspect(build_index(spark, sf), _names(spark, sf))
+
+
+@query(sql.with_(sql.INDEX, select="SELECT accession, CAST(d.taxid AS BIGINT) AS taxid, target IS NOT NULL AS is_target FROM dna d LEFT JOIN rolled r ON d.taxid = r.taxid"))
+def split_by_targets(spark, sf):
+    own = _own(spark, sf, _tree(spark, sf)[1])
+    return index.split_by_targets(_acc(spark, sf), own).select("accession", "taxid", "is_target")
+
+
+@query(sql.with_(sql.INDEX, sql.SETS, select="SELECT acc_id, accession FROM ids"))
+def accession_ids(spark, sf):
+    paths, rolled = _tree(spark, sf)
+    return index.accession_ids(_own(spark, sf, rolled), paths)
+
+
+@query(sql.with_(sql.INDEX, sql.SETS, select="SELECT minimizer, array_to_string(acc_ids, ',') AS acc_ids FROM sets"))
+def accession_sets(spark, sf):
+    return _sets(spark, sf)[2].select("minimizer", F.array_join(F.col("acc_ids").cast("array<string>"), ",").alias("acc_ids"))
+
+
+@query(sql.with_(sql.INDEX, sql.SETS, select="SELECT row_number() OVER (ORDER BY acc_ids) AS class_id, array_to_string(acc_ids, ',') AS acc_ids, minimizers FROM classes"))
+def equivalence_classes(spark, sf):
+    found = index.equivalence_classes(_sets(spark, sf)[2])
+    return found.select(F.col("class_id").cast("long").alias("class_id"), F.array_join(F.col("acc_ids").cast("array<string>"), ",").alias("acc_ids"), "minimizers")
+
+
+def _class_stats_sql() -> str:
+    bins = [(1, 1), (2, 2), (3, 5), (6, 10), (11, 50), (51, 100), (101, 1000), (1001, 1 << 60)]
+    widths = [(0, 127), (128, 16383), (16384, 2097151), (2097152, 1 << 60)]
+    pick = lambda p: f"list_sort(list(size))[CAST(floor((count(*) - 1) * {p} + 0.5) AS BIGINT) + 1]"
+    return sql.with_(
+        sql.INDEX, sql.SETS, "z AS (SELECT acc_ids, len(acc_ids) AS size, minimizers FROM classes)",
+        "d AS (SELECT unnest(list_transform(acc_ids, lambda v, i: CASE WHEN i = 1 THEN v ELSE v - acc_ids[i - 1] END)) AS d FROM z)",
+        "ds AS (SELECT count(*) AS deltas, avg(d) AS mean_delta, max(d) AS max_delta, " + ", ".join(f"count(*) FILTER (WHERE d BETWEEN {a} AND {b}) AS deltas_{i}byte" for i, (a, b) in enumerate(widths, 1)) + " FROM d)",
+        select="SELECT s.*, ds.* FROM (SELECT count(*) AS classes, CAST(sum(minimizers) AS BIGINT) AS minimizers, CAST(sum(size) AS BIGINT) AS accession_refs, CAST(min(size) AS INTEGER) AS min_size, CAST(max(size) AS INTEGER) AS max_size, sum(size) / count(*) AS mean_size, CAST(median(size) AS DOUBLE) AS median_size, "
+        + ", ".join(f"CAST({pick(p)} AS INTEGER) AS p{int(p * 100)}" for p in (0.25, 0.75, 0.9, 0.99)) + ", "
+        + ", ".join(f"count(*) FILTER (WHERE size BETWEEN {a} AND {b}) AS bin_{a}" for a, b in bins)
+        + ", CAST(coalesce(sum(minimizers) FILTER (WHERE size = 1), 0) AS BIGINT) AS minimizers_single, CAST(coalesce(sum(minimizers) FILTER (WHERE size > 1), 0) AS BIGINT) AS minimizers_shared FROM z) s, ds",
+    )
+
+
+@query(_class_stats_sql())
+def class_stats(spark, sf):
+    return reports.class_stats(index.equivalence_classes(_sets(spark, sf)[2]))
+
+
+@query()
+def vbyte_codes(spark, sf):
+    """The accession sets as delta-coded bytes; tests decode them."""
+    found = _sets(spark, sf)[2]
+    return found.select("minimizer", "acc_ids", hashing.vbyte(F.col("acc_ids")).alias("bytes"))
+
+
+# -- domains
+
+
+@query(sql.with_(sql.INDEX, sql.DOMAINS, select="SELECT min(domain) AS domain, minimizer FROM pairs GROUP BY minimizer HAVING count(*) = 1"))
+def domain_exclusive(spark, sf):
+    return domains.exclusive(_pairs(spark, sf))
+
+
+@query(sql.with_(sql.INDEX, sql.DOMAINS, select="SELECT minimizer, taxid FROM domain_taxa"))
+def domain_fallback(spark, sf):
+    return domains.fallback(_pairs(spark, sf))
+
+
+@query(f"WITH {sql.DNA} SELECT domain, count(*) AS records FROM dna GROUP BY domain")
+def domain_records(spark, sf):
+    return domains.record_counts(tables.dna(spark, sf))
+
+
+@query(sql.with_(sql.INDEX, sql.DOMAINS, select="SELECT domain, count(*) AS minimizers FROM pairs GROUP BY domain"))
+def domain_counts(spark, sf):
+    """Exact counts; approx_distinct has the sketched ones."""
+    return _pairs(spark, sf).groupBy("domain").agg(F.count("*").alias("minimizers"))
+
+
+@query()
+def approx_distinct(spark, sf):
+    """Sketched counts of each domain, and of all of them by uniting sketches."""
+    pairs = settle(_pairs(spark, sf))
+    return domains.approximate_counts(pairs).unionByName(domains.merged_count(domains.sketches(pairs)).select(F.lit("all").alias("domain"), "minimizers"))
+
+
+@query()
+def bloom_filter(spark, sf):
+    """How many minimizers of all domains each domain's filter has, beside its members."""
+    pairs = settle(_pairs(spark, sf))
+    hits = domains.maybe_in(pairs, settle(domains.bloom_filters(pairs)))
+    counts = hits.groupBy("domain").agg(F.count("*").alias("hits"))
+    return counts.join(pairs.groupBy("domain").agg(F.count("*").alias("members")), "domain")
+
+
+# -- classification
+
+
+@query(sql.with_(sql.INDEX, sql.classified(False), select="SELECT read_id, CAST(mate AS INTEGER) AS mate, run_no, minimizer, len, CAST(taxid AS BIGINT) AS taxid FROM found"))
+def lookup(spark, sf):
+    found = classify.lookup(minimizers.read_runs(tables.reads(spark, sf)), _index(spark, sf))
+    return found.select("read_id", "mate", F.col("run_no").cast("long").alias("run_no"), "minimizer", F.col("len").cast("long").alias("len"), "taxid")
+
+
+@query(sql.with_(sql.INDEX, sql.DOMAINS, sql.classified(True), select="SELECT read_id, CAST(taxid AS BIGINT) AS taxid, weight, groups, background_groups FROM weights"))
+def hit_groups(spark, sf):
+    return classify.hit_weights(_found(spark, sf, True)[1])
+
+
+@query(sql.with_(sql.INDEX, sql.classified(False), select='SELECT w.read_id, CAST(w.taxid AS BIGINT) AS taxid, CAST(sum(v.weight) AS BIGINT) AS path_weight FROM weights w JOIN closure c ON c."desc" = w.taxid JOIN weights v ON v.read_id = w.read_id AND v.taxid = c.anc GROUP BY w.read_id, w.taxid'))
+def path_weights(spark, sf):
+    built, found = _found(spark, sf, False)
+    return classify.path_weights(classify.hit_weights(found), _closure(spark, sf, built)).select("read_id", "taxid", "path_weight")
+
+
+_BEST = "array_to_string(best, ',') AS best"
+
+
+@query(sql.with_(sql.INDEX, sql.classified(False), select=f"SELECT read_id, status, taxid, {_BEST} FROM decided"))
+def classify_reads(spark, sf):
+    return _decided(spark, sf)[2].withColumn("best", F.array_join(F.col("best").cast("array<string>"), ","))
+
+
+@query(sql.with_(sql.INDEX, sql.DOMAINS, sql.classified(True), select=f"SELECT read_id, status, taxid, {_BEST} FROM decided"))
+def classify_with_domains(spark, sf):
+    return _decided(spark, sf, True)[2].withColumn("best", F.array_join(F.col("best").cast("array<string>"), ","))
+
+
+_SPANS = """m AS (SELECT *, CASE WHEN coalesce(taxid, 0) IS DISTINCT FROM lag(coalesce(taxid, 0)) OVER w THEN 1 ELSE 0 END AS new FROM found WINDOW w AS (PARTITION BY read_id, mate ORDER BY run_no)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY read_id, mate ORDER BY run_no ROWS UNBOUNDED PRECEDING) AS span_no FROM m),
+spans AS (SELECT read_id, mate, span_no, any_value(coalesce(taxid, 0)) AS taxid, sum(len) AS len, min_by(minimizer, run_no) FILTER (WHERE true) AS firstm, min(run_no) AS first_run FROM g GROUP BY ALL),
+firsts AS (SELECT s.read_id, s.mate, s.span_no, s.taxid, s.len, f.minimizer FROM spans s JOIN found f ON f.read_id = s.read_id AND f.mate = s.mate AND f.run_no = s.first_run)"""
+_SPANS = _SPANS.replace("min_by(minimizer, run_no) FILTER (WHERE true) AS firstm, ", "")
+
+
+@query(sql.with_(sql.INDEX, sql.classified(False), _SPANS, select="SELECT read_id, string_agg(CASE WHEN mate = 2 THEN '|:| ' ELSE '' END || t, '' ORDER BY mate) AS pattern FROM (SELECT read_id, mate, string_agg(CAST(taxid AS BIGINT) || ':' || CAST(len AS BIGINT) || ' ', '' ORDER BY span_no) AS t FROM firsts GROUP BY read_id, mate) GROUP BY read_id"))
+def hit_pattern(spark, sf):
+    return classify.patterns(_found(spark, sf, False)[1])
+
+
+_LISTED = """listed AS (SELECT f.read_id, f.mate, f.span_no, '-{' || string_agg(i.accession, ',' ORDER BY i.acc_id) || '}' AS set FROM firsts f JOIN (SELECT minimizer, unnest(acc_ids) AS acc_id FROM sets) s ON s.minimizer = f.minimizer JOIN ids i ON i.acc_id = s.acc_id GROUP BY ALL)"""
+
+
+@query(sql.with_(sql.INDEX, sql.SETS, sql.classified(False), _SPANS, _LISTED, select="SELECT read_id, string_agg(CASE WHEN mate = 2 THEN '|:| ' ELSE '' END || t, '' ORDER BY mate) AS pattern FROM (SELECT f.read_id, f.mate, string_agg(CAST(taxid AS BIGINT) || coalesce(set, '') || ':' || CAST(len AS BIGINT) || ' ', '' ORDER BY f.span_no) AS t FROM firsts f LEFT JOIN listed l ON l.read_id = f.read_id AND l.mate = f.mate AND l.span_no = f.span_no GROUP BY f.read_id, f.mate) GROUP BY read_id"))
+def accession_pattern(spark, sf):
+    built, ids, sets = _sets(spark, sf)
+    found = classify.lookup(minimizers.read_runs(tables.reads(spark, sf)), built)
+    return classify.patterns(found, sets, ids)
+
+
+@query(sql.with_(sql.INDEX, sql.classified(False), _SPANS, "pat AS (SELECT read_id, string_agg(CASE WHEN mate = 2 THEN '|:| ' ELSE '' END || t, '' ORDER BY mate) AS pattern FROM (SELECT read_id, mate, string_agg(CAST(taxid AS BIGINT) || ':' || CAST(len AS BIGINT) || ' ', '' ORDER BY span_no) AS t FROM firsts GROUP BY read_id, mate) GROUP BY read_id)",
+                 select="SELECT d.read_id, concat_ws(chr(9), d.status, n.header, CASE WHEN d.status = 'A' THEN array_to_string(best, ',') ELSE CAST(coalesce(d.taxid, 0) AS VARCHAR) END, length(left(n.seq, CAST(floor(length(n.seq) / 2) AS BIGINT))) || '|' || (length(n.seq) - CAST(floor(length(n.seq) / 2) AS BIGINT)), coalesce(p.pattern, '0:0')) AS line FROM decided d JOIN dna n ON n.read_id = d.read_id LEFT JOIN pat p ON p.read_id = d.read_id"))
+def output_lines(spark, sf):
+    _, found, decided = _decided(spark, sf)
+    return classify.output_lines(tables.reads(spark, sf), decided, classify.patterns(found))
+
+
+_CORE_NAME = "CASE key WHEN 1 THEN 'root' WHEN 2 THEN 'Bacteria' WHEN 2157 THEN 'Archaea' WHEN 4751 THEN 'Fungi' WHEN 10239 THEN 'Viruses' WHEN 131567 THEN 'cellular organisms' WHEN 4294967295 THEN chr(9) END"
+_REPORT = f"SELECT key AS taxid, coalesce({_CORE_NAME}, name, 'Unknown') AS name, n AS reads, n / total AS ratio FROM (SELECT CASE status WHEN 'A' THEN 4294967295 WHEN 'C' THEN taxid END AS key, count(*) AS n, sum(count(*)) OVER () AS total FROM decided GROUP BY 1) LEFT JOIN taxnames ON taxnames.taxid = key WHERE key IS NOT NULL"
+
+
+@query(sql.with_(sql.INDEX, sql.classified(False), select=_REPORT))
+def report(spark, sf):
+    return reports.report(_decided(spark, sf)[2], _names(spark, sf))
+
+
+@query(sql.with_(sql.INDEX, sql.DOMAINS, sql.classified(True), select=_REPORT))
+def report_with_domains(spark, sf):
+    return reports.report(_decided(spark, sf, True)[2], _names(spark, sf))
+
+
+@query(sql.with_(sql.INDEX, sql.classified(False), select="SELECT count(*) FILTER (WHERE status = 'C') AS classified, count(*) FILTER (WHERE status = 'U') AS unclassified, count(*) FILTER (WHERE status = 'A') AS ambiguous, count(*) AS total FROM decided"))
+def status_counts(spark, sf):
+    return reports.status_counts(_decided(spark, sf)[2])
+
+
+@query(sql.with_(sql.INDEX, sql.SETS, sql.MATES, sql.windows("mates", "rw"), select="SELECT s.acc_id, accession, count(*) AS total_hits, count(*) FILTER (WHERE n = 1) AS unique_hits FROM (SELECT unnest(acc_ids) AS acc_id, len(acc_ids) AS n FROM sets WHERE minimizer IN (SELECT minimizer FROM rw)) s JOIN ids ON ids.acc_id = s.acc_id GROUP BY s.acc_id, accession"))
+def strain(spark, sf):
+    _, ids, sets = _sets(spark, sf)
+    return reports.strain(minimizers.read_runs(tables.reads(spark, sf)), sets, ids)
+
+
+# -- archives, over lines made of the shared tables
+
+_ACC_LINES = "lines AS (SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS no, 'P' || l_partkey AS accession, CAST(l_suppkey AS BIGINT) AS taxid FROM lineitem)"
+
+
+@query(f"WITH {_ACC_LINES} SELECT accession, max_by(taxid, no) AS taxid FROM lines GROUP BY accession")
+def accession_map(spark, sf):
+    rows = tables.table(spark, sf, "lineitem")
+    lines = rows.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("no"), F.concat(F.lit("P"), "l_partkey", F.lit("\t"), "l_suppkey").alias("value"))
+    return archives.accession_rows(lines)
+
+
+@query("WITH r AS (SELECT CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS source, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS no, 'P' || l_partkey AS accession, CAST(l_suppkey AS BIGINT) AS taxid FROM lineitem) SELECT accession, min_by(taxid, source * 1000000000000 + no) AS taxid FROM r WHERE accession IN (SELECT 'P' || p_partkey FROM part WHERE p_size > 10) GROUP BY accession")
+def acc_taxid_filter(spark, sf):
+    rows = tables.table(spark, sf, "lineitem").select(
+        F.when(F.col("l_returnflag") == "A", 1).otherwise(0).alias("source"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("no"),
+        F.concat(F.lit("P"), "l_partkey").alias("accession"), F.col("l_suppkey").cast("long").alias("taxid"),
+    )
+    wanted = tables.table(spark, sf, "part").where("p_size > 10").select(F.concat(F.lit("P"), "p_partkey").alias("accession"))
+    return archives.wanted_accessions(rows, wanted)
+
+
+@query("WITH r AS (SELECT 'GCF_' || o_orderkey AS assembly, o_custkey AS taxid, CASE o_orderstatus WHEN 'O' THEN 'Complete Genome' WHEN 'F' THEN 'Chromosome' ELSE 'Scaffold' END AS level, CASE WHEN o_orderpriority LIKE '1%' THEN 'na' ELSE 'https://host/all/' || o_orderkey END AS folder FROM orders) SELECT assembly, CAST(taxid AS BIGINT) AS taxid, replace(folder, 'https://host', '') || '/' || string_split(folder, '/')[-1] || '_genomic.fna.gz' AS path FROM r WHERE level <> 'Scaffold' AND folder <> 'na'")
+def assembly_filter(spark, sf):
+    level = F.when(F.col("o_orderstatus") == "O", "Complete Genome").when(F.col("o_orderstatus") == "F", "Chromosome").otherwise("Scaffold")
+    folder = F.when(F.col("o_orderpriority").startswith("1"), "na").otherwise(F.concat(F.lit("https://host/all/"), "o_orderkey"))
+    blank = [F.lit("x")] * 20
+    blank[0], blank[5], blank[11], blank[19] = F.concat(F.lit("GCF_"), "o_orderkey"), F.col("o_custkey").cast("string"), level, folder
+    return archives.assembly_rows(tables.table(spark, sf, "orders").select(F.concat_ws("\t", *blank).alias("value")))
+
+
+@query("SELECT DISTINCT 'part.' || replace(p_brand, '#', '.') || '.genomic.fna.gz' AS file FROM part")
+def listing(spark, sf):
+    name = F.concat(F.lit('<a href="part.'), F.replace("p_brand", F.lit("#"), F.lit(".")), F.lit('.genomic.fna.gz">x</a> <a href="other.genomic.fna.gz">'))
+    return archives.listing(tables.table(spark, sf, "part").select(name.alias("html")), "part")
+
+
+@query("SELECT DISTINCT CAST(l_partkey AS BIGINT) AS taxid FROM lineitem WHERE l_partkey > 1")
+def target_list(spark, sf):
+    lines = tables.table(spark, sf, "lineitem").select(F.concat(F.lit(" "), "l_partkey", F.when(F.col("l_linenumber") == 0, "x").otherwise("")).alias("value"))
+    return archives.target_rows(lines)
+
+
+@query("SELECT 'A' || doc_id AS assembly, source, CAST(doc_id AS BIGINT) AS taxid, CAST(octet_length(CAST(text AS BLOB)) AS BIGINT) AS bytes, sha256(text) AS sha256 FROM (SELECT doc_id, source, text, encode(text) AS e FROM documents)".replace("octet_length(CAST(text AS BLOB))", "octet_length(e)"))
+def manifest(spark, sf):
+    docs = tables.table(spark, sf, "documents")
+    return archives.manifest(docs.select(F.concat(F.lit("A"), "doc_id").alias("assembly"), "source", F.col("doc_id").alias("taxid"), F.encode("text", "UTF-8").alias("content")))
+
+
+@query(f"WITH {sql.DNA}, k AS (SELECT DISTINCT CAST(1000 + s_suppkey AS BIGINT) AS t FROM supplier WHERE s_acctbal > 0), m AS (SELECT domain, seq, k.t FROM dna LEFT JOIN k ON dna.taxid = k.t) SELECT domain, count(*) AS records, CAST(sum(length(seq)) AS BIGINT) AS bases, count(*) FILTER (WHERE t IS NULL) AS unmapped FROM m GROUP BY domain")
+def ingest_stats(spark, sf):
+    """Records whose supplier has a positive balance are mapped, the others kept without a taxid."""
+    docs = tables.dna(spark, sf)
+    rich = tables.table(spark, sf, "supplier").where("s_acctbal > 0").select((F.col("s_suppkey") + 1000).alias("taxid"))
+    known = docs.select("accession", "taxid").join(rich, "taxid", "left_semi")
+    return archives.ingest_stats(archives.with_taxids(docs.drop("taxid"), known, keep_unmapped=True))
+
+
+# -- evaluation, over orders as samples and customers or parts as taxa
+
+_FOUND = "found AS (SELECT 'S' || (l_orderkey % 96) AS sample, CASE WHEN l_linenumber % 2 = 0 THEN 'one' ELSE 'two' END AS tool, 100 + (l_partkey % 25) AS taxid, CAST(sum(l_quantity) AS BIGINT) AS reads FROM lineitem GROUP BY ALL)"
+_TRUTH = "truth AS (SELECT 'S' || (o_orderkey % 96) AS sample, 100 + (o_custkey % 25) AS taxid, count(*) - 2 AS reads FROM orders GROUP BY ALL)"
+
+
+def _found_rows(spark, sf) -> DataFrame:
+    rows = tables.table(spark, sf, "lineitem")
+    tool = F.when(F.col("l_linenumber") % 2 == 0, "one").otherwise("two")
+    return rows.groupBy(F.concat(F.lit("S"), F.col("l_orderkey") % 96).alias("sample"), tool.alias("tool"), (100 + F.col("l_partkey") % 25).cast("long").alias("taxid")).agg(F.sum("l_quantity").cast("long").alias("reads"))
+
+
+@query(f"WITH RECURSIVE {sql.TREE}, {_FOUND}, {_TRUTH}, real AS (SELECT DISTINCT sample, taxid FROM truth WHERE reads > 0 AND taxid IN (SELECT taxid FROM targets)) SELECT s.sample, s.sample NOT IN (SELECT sample FROM real) AS negative, CAST(coalesce(sum(f.reads) FILTER (WHERE tool = 'one'), 0) AS BIGINT) AS one, CAST(coalesce(sum(f.reads) FILTER (WHERE tool = 'two'), 0) AS BIGINT) AS two FROM (SELECT DISTINCT sample FROM truth) s LEFT JOIN (SELECT * FROM found f WHERE taxid IN (SELECT taxid FROM targets) AND reads > 0 AND NOT EXISTS (SELECT 1 FROM real r WHERE r.sample = f.sample AND r.taxid = f.taxid)) f ON f.sample = s.sample GROUP BY s.sample")
+def fp_by_sample(spark, sf):
+    orders = tables.table(spark, sf, "orders")
+    truth = orders.groupBy(F.concat(F.lit("S"), F.col("o_orderkey") % 96).alias("sample"), (100 + F.col("o_custkey") % 25).alias("taxid")).agg((F.count("*") - 2).alias("reads"))
+    return reports.false_positives(_found_rows(spark, sf), truth, tables.targets(spark, sf), ["one", "two"])
+
+
+_EXPECTED = "expected AS (SELECT 'S' || i AS sample, CASE WHEN i % 4 > 0 THEN 100 + i % 25 END AS expected FROM range(96) t(i))"
+
+
+def _expected(spark) -> DataFrame:
+    i = F.col("id")
+    return spark.range(96).select(F.concat(F.lit("S"), i).alias("sample"), F.when(i % 4 > 0, 100 + i % 25).alias("expected"))
+
+
+_RESOLVED = """near AS (SELECT s.taxid, max_by(s.anc, s.depth) AS root FROM steps s WHERE s.anc IN (SELECT taxid FROM targets) GROUP BY s.taxid),
+resolved AS (SELECT f.sample, tool, f.taxid, reads, e.expected, CASE WHEN list_contains(p.lineage, e.expected) THEN 'TP' WHEN n.root IS NOT NULL THEN 'FP' END AS verdict,
+  CASE WHEN list_contains(p.lineage, e.expected) THEN e.expected ELSE n.root END AS resolved
+  FROM found f LEFT JOIN expected e ON e.sample = f.sample LEFT JOIN paths p ON p.taxid = f.taxid LEFT JOIN near n ON n.taxid = f.taxid),
+per AS (SELECT sample, tool, verdict, resolved, sum(reads) AS n FROM resolved WHERE reads > 0 GROUP BY ALL),
+detail AS (SELECT sample, tool, CAST(coalesce(sum(n) FILTER (WHERE verdict = 'TP'), 0) AS BIGINT) AS tp_reads, CAST(coalesce(sum(n) FILTER (WHERE verdict = 'FP'), 0) AS BIGINT) AS fp_reads,
+  coalesce(string_agg(resolved || ':' || CAST(n AS BIGINT), ', ' ORDER BY resolved || ':' || CAST(n AS BIGINT)) FILTER (WHERE verdict = 'FP'), '') AS fp_breakdown FROM per GROUP BY sample, tool)"""
+
+
+def _resolved(spark, sf) -> DataFrame:
+    return reports.resolved(_found_rows(spark, sf), _expected(spark), tables.targets(spark, sf), taxonomy.lineages(tables.nodes(spark, sf)))
+
+
+@query(f"WITH RECURSIVE {sql.TREE}, {_FOUND}, {_EXPECTED}, {_RESOLVED} SELECT sample, tool, CAST(taxid AS BIGINT) AS taxid, reads, verdict, CAST(resolved AS BIGINT) AS resolved FROM resolved")
+def tp_fp_resolution(spark, sf):
+    return _resolved(spark, sf)
+
+
+@query(f"WITH RECURSIVE {sql.TREE}, {_FOUND}, {_EXPECTED}, {_RESOLVED} SELECT * FROM detail")
+def lod_detail(spark, sf):
+    return reports.lod_detail(_resolved(spark, sf))
+
+
+@query(f"WITH RECURSIVE {sql.TREE}, {_FOUND}, {_EXPECTED}, {_RESOLVED}, totals AS (SELECT 'S' || (o_orderkey % 96) AS sample, count(*) AS total_reads FROM orders GROUP BY 1), r AS (SELECT d.*, e.expected FROM detail d JOIN expected e ON e.sample = d.sample), t AS (SELECT expected, tool, count(*) AS samples, CAST(sum(tp_reads) AS BIGINT) AS tp_reads, CAST(sum(fp_reads) AS BIGINT) AS fp_reads, round(avg(tp_reads), 1) AS mean_tp FROM r GROUP BY ALL), n AS (SELECT expected, CAST(sum(total_reads) AS BIGINT) AS total_reads, round(avg(total_reads), 1) AS mean_total_reads FROM (SELECT DISTINCT expected, sample FROM r) JOIN totals USING (sample) GROUP BY expected) SELECT t.*, n.total_reads, n.mean_total_reads FROM t LEFT JOIN n ON t.expected = n.expected")
+def lod_summary(spark, sf):
+    orders = tables.table(spark, sf, "orders")
+    totals = orders.groupBy(F.concat(F.lit("S"), F.col("o_orderkey") % 96).alias("sample")).agg(F.count("*").alias("total_reads"))
+    return reports.lod_summary(reports.lod_detail(_resolved(spark, sf)), _expected(spark), totals)
+
+
+@query("WITH a AS (SELECT o_orderkey AS read_id, o_custkey % 5 AS our_taxid, o_orderpriority AS our_pattern FROM orders), b AS (SELECT l_orderkey AS read_id, max(l_partkey) % 5 AS their_taxid, max(l_returnflag) AS their_pattern FROM lineitem GROUP BY 1) SELECT read_id, CASE WHEN our_taxid = 3 THEN 'only_ours' ELSE 'only_theirs' END AS kind, their_taxid, our_taxid, their_pattern, our_pattern FROM a JOIN b USING (read_id) WHERE (our_taxid = 3) <> (their_taxid = 3)")
+def discordance(spark, sf):
+    ours = tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("read_id"), (F.col("o_custkey") % 5).alias("taxid"), F.col("o_orderpriority").alias("pattern"))
+    theirs = tables.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("read_id")).agg((F.max("l_partkey") % 5).alias("taxid"), F.max("l_returnflag").alias("pattern"))
+    return reports.discordance(ours, theirs, 3)
+
+
+@query("SELECT c_name AS sample, CASE WHEN regexp_matches(c_name, '(^|_)NC(_|$)', 'i') THEN true ELSE false END AS control, CASE WHEN regexp_extract(c_name || '_D' || (c_custkey % 7), '_(D\\d+)', 1) = '' THEN 'N/A' ELSE regexp_extract(c_name || '_D' || (c_custkey % 7), '_(D\\d+)', 1) END AS conc, c_name AS clean FROM customer")
+def sample_names(spark, sf):
+    name = F.col("c_name")
+    path = F.concat(F.lit("/data/x/"), name, F.lit(".report.txt"))
+    return tables.table(spark, sf, "customer").select(name.alias("sample"), archives.is_control(name).alias("control"), archives.concentration(F.concat(name, F.lit("_D"), F.col("c_custkey") % 7)).alias("conc"), archives.clean_name(path).alias("clean"))
+
+
+@query("WITH f AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'x' || (doc_id // 3) || '_R1.fastq.gz' WHEN doc_id % 3 = 1 THEN 'x' || (doc_id // 3) || '_R2.fq' ELSE 'y' || doc_id || '.fastq' END AS n FROM documents) SELECT a.s AS sample, a.r1, b.r2 FROM (SELECT CASE WHEN n LIKE '%!_R1%' ESCAPE '!' THEN split_part(n, '_R1', 1) ELSE split_part(n, '.f', 1) END AS s, '/in/' || n AS r1 FROM f WHERE n NOT LIKE '%!_R2%' ESCAPE '!') a LEFT JOIN (SELECT split_part(n, '_R2', 1) AS s, '/in/' || n AS r2 FROM f WHERE n LIKE '%!_R2%' ESCAPE '!') b ON a.s = b.s")
+def sample_discovery(spark, sf):
+    i = F.col("doc_id")
+    third = F.expr("doc_id div 3").cast("string")
+    name = F.when(i % 3 == 0, F.concat(F.lit("x"), third, F.lit("_R1.fastq.gz"))).when(i % 3 == 1, F.concat(F.lit("x"), third, F.lit("_R2.fq"))).otherwise(F.concat(F.lit("y"), i, F.lit(".fastq")))
+    return fastx.samples(tables.table(spark, sf, "documents").select(F.concat(F.lit("/in/"), name).alias("path")))
+
+
+@query("SELECT c_name AS tool, c_custkey * 1000 / (c_nationkey + 1) * 60 / 1e6 AS mreads_per_min, c_custkey / 1024 / 1024 AS memory_gb FROM customer")
+def unit_conversion(spark, sf):
+    rows = tables.table(spark, sf, "customer").select(F.col("c_name").alias("tool"), (F.col("c_custkey") * 1000).alias("reads"), (F.col("c_nationkey") + 1).alias("classify_s"), F.col("c_custkey").alias("peak_kb"))
+    return reports.per_minute(rows)
