@@ -141,7 +141,9 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 def _finder(index: Broadcast, coverage: float):
     def leaks(texts: pd.Series) -> pd.Series:
-        found = ([x for x in coverages(t, index.value) if x[1] >= coverage] for t in texts)
+        own = Index([])
+        own.__dict__.update(index.value)
+        found = ([x for x in coverages(t, own) if x[1] >= coverage] for t in texts)
         return pd.Series([[{"item_id": i, "coverage": c, "tiles": n} for i, c, n in x] for x in found], dtype=object)
 
     return F.pandas_udf(leaks, _LEAKS)
@@ -160,7 +162,7 @@ def contamination(
     """
     rows = docs.withColumn(out, F.array().cast(_LEAKS))
     for n, block in enumerate(_blocks(benchmark)):
-        index = docs.sparkSession.sparkContext.broadcast(Index(block, min_match))  # bounded by BLOCK_CHARS
+        index = docs.sparkSession.sparkContext.broadcast(vars(Index(block, min_match)))  # bounded by BLOCK_CHARS
         rows = rows.withColumn(out, F.concat(out, _finder(index, coverage)(F.col(text_col))))
         if n % BLOCKS == BLOCKS - 1:
             rows = cut(rows)

@@ -165,8 +165,12 @@ for _i, _words in enumerate(_HINTS.values()):
 N_HINTS, N_TAGS = len(_HINTS), len(_TAGS)
 
 
-@lru_cache(maxsize=4096)
+_SEEN: dict[str, tuple[float, ...]] = {}
+
+
 def _hints(attrs: str) -> tuple[float, ...]:
+    if attrs in _SEEN:
+        return _SEEN[attrs]
     out = [0.0] * (N_HINTS + 1)
     for name, value in _ATTRIBUTE.findall(attrs):
         if name.lower() == "hidden":
@@ -176,6 +180,8 @@ def _hints(attrs: str) -> tuple[float, ...]:
                 out[i] = 1.0
     if "display:none" in attrs.replace(" ", ""):
         out[N_HINTS] = 1.0
+    if len(_SEEN) < 4096:
+        _SEEN[attrs] = tuple(out)
     return tuple(out)
 
 
