@@ -19,6 +19,8 @@ from strandex.llm.components import connected_components
 #: Characters of a shingle; rows of a band and bands (a pair at 0.8 is found with probability 0.985); least Jaccard.
 SHINGLE, ROWS, BANDS, JACCARD = 8, 4, 8, 0.8
 SEED = 23
+#: Lines with a neighbour in a band whose places may be broadcast (some 40 bytes each).
+MOST_PLACES = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,21 +56,25 @@ def _hashes(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
 def band_keys(lines: list[str], size: int = SHINGLE, rows: int = ROWS, bands: int = BANDS, seed: int = SEED) -> np.ndarray:
     """A key for each line and band, from the least hashes of ``rows`` hash functions."""
     rnd = np.random.default_rng(seed)
-    factors = rnd.integers(1, 1 << 63, rows * bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    offsets = rnd.integers(0, 1 << 63, rows * bands, dtype=np.uint64)
+    factors = rnd.integers(0, 1 << 31, rows * bands, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    offsets = rnd.integers(0, 1 << 32, rows * bands, dtype=np.uint32)
     h, first = _hashes(lines, size)
+    h = (h >> np.uint64(32)).astype(np.uint32)
+    mixed = np.empty_like(h)
     out = np.zeros((len(lines), bands), dtype=np.uint64)
     for b in range(bands):
         key = np.full(len(lines), b + 1, dtype=np.uint64)
         for j in range(b * rows, (b + 1) * rows):
-            key = (key ^ np.minimum.reduceat(h * factors[j] + offsets[j], first)) * _MIX
+            np.multiply(h, factors[j], out=mixed)
+            np.add(mixed, offsets[j], out=mixed)
+            key = (key ^ np.minimum.reduceat(mixed, first).astype(np.uint64)) * _MIX
             key ^= key >> np.uint64(31)
         out[:, b] = key
     return out.view(np.int64)
 
 
-def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, line_no, digest, bands)`` of every line that isn't blank, trimmed of outer white space."""
+def _occurrences(docs: DataFrame, id_col: str, text_col: str, signed: bool) -> DataFrame:
+    """``(doc_id, line_no, digest)`` of every line that isn't blank, trimmed of outer white space; ``bands`` if ``signed``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,42 +88,33 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         held += len(line)
                 if lines and (held > 1 << 20 or i == batch.num_rows - 1):
                     digests = [md5(x.encode("utf-8", "surrogatepass")).digest() for x in lines]
-                    keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(lines).ravel()), BANDS).cast(pa.list_(pa.int64()))
-                    columns = [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(digests, pa.binary()), keys]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line_no", "digest", "bands"])
+                    columns = {"doc_id": pa.array(ids, pa.int64()), "line_no": pa.array(numbers, pa.int32()), "digest": pa.array(digests, pa.binary())}
+                    if signed:
+                        columns["bands"] = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(lines).ravel()), BANDS).cast(pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_pydict(columns)
                     ids, numbers, lines, held = [], [], [], 0
             if lines:
                 raise AssertionError("lines left over")
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    return rows.mapInArrow(run, "doc_id long, line_no int, digest binary, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, line_no int, digest binary" + ", bands array<long>" * signed)
 
 
 def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (band, key), those that aren't alone with theirs."""
-
-    def pick(rows: pa.Table) -> pa.RecordBatch | None:
-        band, key = np.asarray(rows["band"]), np.asarray(rows["key"])
-        same = (band[1:] == band[:-1]) & (key[1:] == key[:-1])
-        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        out = rows.filter(pa.array(keep)).combine_chunks().to_batches()
-        return out[0] if out and out[0].num_rows else None
-
-    rest = None
+    """Of rows sorted by key, those that aren't alone with theirs; a row waits for the next to tell."""
+    last, waiting, told = None, None, True  # the key of the row before, that row, and whether it is out already
     for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        if rest is not None:
-            rows = pa.concat_tables([rest, rows])
-        band, key = np.asarray(rows["band"]), np.asarray(rows["key"])
-        if not len(band):
+        if not batch.num_rows:
             continue
-        change = np.flatnonzero((band[1:] != band[:-1]) | (key[1:] != key[:-1]))
-        end = int(change[-1]) + 1 if len(change) else 0
-        rest = rows.slice(end)
-        if (out := pick(rows.slice(0, end))) is not None:
-            yield out
-    if rest is not None and (out := pick(rest)) is not None:
-        yield out
+        key = np.asarray(batch.column(0))
+        same = key[1:] == key[:-1]
+        head = last is not None and key[0] == last
+        if head and not told:
+            yield waiting
+        keep = np.concatenate([[head], same]) | np.concatenate([same, [False]])
+        if keep.any():
+            yield batch.filter(pa.array(keep))
+        last, waiting, told = key[-1], batch.slice(batch.num_rows - 1), bool(keep[-1])
 
 
 def _verified(least: float):
@@ -146,10 +143,10 @@ def _verified(least: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, out = None, [], []
         for batch in batches:
-            for band, value, digest, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if (band, value) != key:
+            for value, digest, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if value != key:
                     out += bucket(held)
-                    key, held = (band, value), []
+                    key, held = value, []
                 held.append((digest, text))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.binary()), pa.array([e[1] for e in out], pa.binary())], names=["a", "b"])
@@ -168,25 +165,30 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs at ``least`` or more keep the occurrence with the least (doc_id, line_no), null ids first.
     Banding finds a pair at the threshold with probability 0.985 and a closer one with more.
     """
-    rows = _occurrences(docs, id_col, text_col)
-    lines = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.any_value("bands").alias("bands"))
-    lines = cut(lines)
-    banded = lines.select(F.posexplode("bands").alias("band", "key"), "digest", "first")
-    shared = banded.repartition("band", "key").sortWithinPartitions("band", "key")
-    shared = cut(shared.select("band", "key", "digest", F.col("first.doc_id").alias("doc"), F.col("first.line_no").alias("no")).mapInArrow(_shared, "band int, key long, digest binary, doc long, no int"))
-    wanted = shared.select("doc", "no", "digest").distinct().groupBy("doc").agg(F.collect_list(F.struct("no", "digest")).alias("w"))
+    rows = cut(_occurrences(docs, id_col, text_col, False))
+    lines = cut(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "line_no")).alias("first")))
+    # in the buckets a line is a 64-bit handle; should two lines share one, both are verified
+    handle = F.xxhash64("digest").alias("handle")
+    signed = _occurrences(docs, id_col, text_col, True).groupBy("digest").agg(F.any_value("bands").alias("bands"))
+    banded = signed.select(F.explode("bands").alias("key"), handle).repartition("key").sortWithinPartitions("key")
+    shared = cut(banded.mapInArrow(_shared, "key long, handle long"))
+    places = lines.select("digest", handle, "first").join(shared.select("handle").distinct(), "handle", "left_semi")
+    places = cut(places.select("handle", "digest", F.col("first.doc_id").alias("doc"), F.col("first.line_no").alias("no")))
+    wanted = places.groupBy("doc").agg(F.collect_list(F.struct("no", "digest")).alias("w"))
+    if places.count() <= MOST_PLACES:
+        wanted = F.broadcast(wanted)
     texts = docs.select(F.col(id_col).cast("long").alias("own"), F.col(text_col).alias("text"))
     texts = texts.join(wanted, F.col("own").eqNullSafe(F.col("doc"))).select(F.split("text", "\n").alias("t"), F.explode("w").alias("w"))
     # white space as Python's strip sees it is taken off in the same way as before the digest, and the digest tells
     texts = texts.select(F.col("w.digest").alias("digest"), F.get("t", F.col("w.no")).alias("line")).where("line IS NOT NULL")
     texts = texts.mapInArrow(_same_digest, "digest binary, line string").dropDuplicates(["digest"])
-    pairs = shared.select("band", "key", "digest").join(texts, "digest").select("band", "key", "digest", "line")
-    edges = pairs.repartition("band", "key").sortWithinPartitions("band", "key", "digest").mapInArrow(_verified(least), "a binary, b binary")
+    members = shared.join(places.select("handle", "digest"), "handle").join(texts, "digest").select("key", "digest", "line")
+    edges = members.repartition("key").sortWithinPartitions("key", "digest").mapInArrow(_verified(least), "a binary, b binary")
     roots = connected_components(edges).withColumnRenamed("node", "digest")
     linked = cut(roots.join(lines.select("digest", "first"), "digest"))
     named = linked.join(linked.groupBy("root").agg(F.min("first").alias("keep")), "root").select("digest", "keep")
     classes = lines.join(named, "digest", "left").select("digest", F.when(F.col("keep").isNull(), F.col("first")).otherwise(F.col("keep")).alias("keep"))
-    found = rows.select("doc_id", "line_no", "digest").join(classes, "digest")
+    found = rows.join(classes, "digest")
     return found.select("doc_id", "line_no", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line"))
 
 
