@@ -157,6 +157,14 @@ def _verified(least: float):
     return run
 
 
+def _different(shared: DataFrame) -> DataFrame:
+    """``shared(key, handle)`` without buckets that have just the members of another one: close lines meet in most bands."""
+    mixes = [F.bit_xor(F.xxhash64("handle", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+    sets = shared.groupBy("key").agg(F.count("*").alias("n"), F.min("handle").alias("least"), *mixes)
+    first = sets.groupBy("n", "least", "x1", "x2").agg(F.min("key").alias("key")).select("key")
+    return cut(shared.join(first, "key", "left_semi"))
+
+
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = JACCARD) -> DataFrame:
     """``(doc_id, line_no, keep_doc, keep_line)`` of every line that isn't blank: the occurrence that its component keeps.
 
@@ -171,7 +179,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     handle = F.xxhash64("digest").alias("handle")
     signed = _occurrences(docs, id_col, text_col, True).groupBy("digest").agg(F.any_value("bands").alias("bands"))
     banded = signed.select(F.explode("bands").alias("key"), handle).repartition("key").sortWithinPartitions("key")
-    shared = cut(banded.mapInArrow(_shared, "key long, handle long"))
+    shared = _different(cut(banded.mapInArrow(_shared, "key long, handle long")))
     places = lines.select("digest", handle, "first").join(shared.select("handle").distinct(), "handle", "left_semi")
     places = cut(places.select("handle", "digest", F.col("first.doc_id").alias("doc"), F.col("first.line_no").alias("no")))
     wanted = places.groupBy("doc").agg(F.collect_list(F.struct("no", "digest")).alias("w"))
