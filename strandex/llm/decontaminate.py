@@ -123,7 +123,7 @@ def coverages(text: str | None, index: Index) -> list[tuple[int, float, int]]:
         for k, p, t in index.matches(ids, length):
             tiles = tile(p, t, length)
             out.append((index.items[k][0], sum(n for _, _, n in tiles) / len(index.items[k][1]), len(tiles)))
-    return sorted(out)
+    return sorted(out, key=lambda x: (x[0] is not None, x[0] or 0, *x[1:]))
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
