@@ -102,8 +102,7 @@ def read_runs(reads: DataFrame, k: int = K, l: int = L) -> DataFrame:
 
 
 def distinct_minimizers(records: DataFrame, *keys: str, k: int = K, l: int = L, segment: int = SEGMENT) -> DataFrame:
-    """Distinct ``(keys..., minimizer)`` of ``records(keys..., seq)``; long sequences are cut first, so none holds up a task."""
+    """Distinct ``(keys..., minimizer)`` of ``records(keys..., seq)``; long sequences are cut first, so a batch stays small."""
     pieces = records.select(*keys, F.explode(sequence.segments(F.col("seq"), k, segment)).alias("piece"))
-    scanned = pieces.repartition(*keys, "piece.start") if segment < SEGMENT else pieces
-    found = scanned.select(*keys, F.explode(F.array_distinct(runs("piece.bases", k, l)["minimizer"])).alias("minimizer"))
+    found = pieces.select(*keys, F.explode(F.array_distinct(runs("piece.bases", k, l)["minimizer"])).alias("minimizer"))
     return found.where("minimizer IS NOT NULL").distinct()
