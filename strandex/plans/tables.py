@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from strandex.operators.common import spread
 from strandex.operators.taxonomy import with_domains
 
 #: Domain taxids that regions 0 to 4 are placed below, and the regions and nations that are targets.
@@ -16,6 +17,7 @@ TARGET_REGIONS, TARGET_NATION_REGIONS = (1,), (0, 1, 3)
 LANGUAGES = {"en": "bacteria", "de": "archaea", "fr": "viral", "es": "fungi"}
 _FROM = "abcdefghijklmnopqrstuvwxyz\n"
 _TO = "ACGTACGTACGTACGTACGTACGTACN"
+_REST = "".join(c for c in map(chr, range(0x250)) if not (c.isascii() and c.isalpha()) and c != "\n")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(read_id, accession, taxid, domain, header, seq)`` of every document."""
     suppliers = table(spark, sf_dir, "supplier").count()
-    docs = table(spark, sf_dir, "documents")
-    seq = F.translate(F.lower(F.regexp_replace("text", "[^A-Za-z\n]", "")), _FROM, _TO)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    # one translation deletes what isn't a letter in the first alphabets; only texts with still other signs need a pattern
+    bases = F.translate("text", _FROM + _FROM[:26].upper() + _REST, _TO + _TO[:26])
+    seq = F.when(bases.rlike("[^ACGTN]"), F.regexp_replace(bases, "[^ACGTN]", "")).otherwise(bases)
     domain = F.coalesce(*[F.when(F.col("lang") == a, F.lit(b)) for a, b in LANGUAGES.items()], F.lit("other"))
     return docs.select(
         F.col("doc_id").alias("read_id"),
