@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from strandex.llm import near
 from strandex.llm.common import cut, table
 from strandex.llm.components import connected_components
 
@@ -264,9 +265,12 @@ def near_duplicates(
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates the row of the least doc_id stays, with all its columns."""
-    classes = near_duplicates(docs)
-    keep = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
+    """Pipeline stage: of each group of near duplicates the row of the least doc_id stays, with all its columns.
+
+    Near are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more (:mod:`strandex.llm.near`).
+    """
+    classes = near.near_classes(docs.withColumn("doc_id", F.col("doc_id").cast("long")), keys=("doc_id",))
+    keep = classes.groupBy("root").agg(F.min("doc_id").alias("_keep")).select("_keep").distinct()
     return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
 
 
