@@ -265,13 +265,21 @@ def near_duplicates(
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates the row of the least doc_id stays, with all its columns.
+    """Pipeline stage: of each group of near duplicates one row stays, with all its columns.
 
     Near are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more (:mod:`strandex.llm.near`).
+    It is the row of the least doc_id, null last, and of rows that share it that of the least hash of all columns. Rows
+    that are equal in every column are alike, so any one of them stays.
     """
-    classes = near.near_classes(docs.withColumn("doc_id", F.col("doc_id").cast("long")), keys=("doc_id",))
-    keep = classes.groupBy("root").agg(F.min("doc_id").alias("_keep")).select("_keep").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
+    content = F.xxhash64(*[F.col(f"`{n}`") for n in docs.columns])
+    marked = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_row": content})
+    classes = near.near_classes(marked, keys=("_id", "_row")).groupBy("root", "_id", "_row").agg(F.count("*").alias("_n"))
+    first = classes.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "_n")).alias("k"))
+    keep = cut(first.select(F.col("k._id").alias("_keep"), F.col("k._row").alias("_kept"), F.col("k._n").alias("_n")))
+    same = marked["_id"].eqNullSafe(keep["_keep"]) & (marked["_row"] == keep["_kept"])
+    once = marked.join(keep.where("_n = 1"), same, "left_semi")
+    again = marked.join(keep.where("_n > 1"), same, "left_semi").dropDuplicates(["_id", "_row"])
+    return once.unionByName(again).select(*[f"`{n}`" for n in docs.columns])
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

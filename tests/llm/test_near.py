@@ -90,3 +90,16 @@ def test_pipeline_from_the_stage_on(spark, folder):
     free = [r for r in kept if all(c < 0.8 for _, c, _ in decontaminate.coverages(r[1], index))]
     assert ids(out[3]) == Counter(r[0] for r in free) and 0 < len(kept) - len(free) < 20
     assert ids(out[4]) == ids(out[5]) == ids(mixing.replicate(out[3], mixing.rates(out[3])))
+
+
+def test_one_row_of_each_class_with_null_and_repeated_ids(spark):
+    a, b, c = "one two three four five six", "other words that stand here now", "some more words of a third kind"
+    rows = [
+        (1, a, "en", "s"), (1, a, "en", "s"), (1, a, "fr", "s"), (2, a, "en", "s"),  # repeats of an id, equal in all columns or not
+        (1, b, "en", "s"), (0, b, "en", "s"),  # 1 is kept above, not here
+        (None, c, "en", "s"), (None, c, "en", "s"), (None, c.upper(), "en", "s"),  # null ids only
+        (None, a, "en", "t"), (7, None, "en", "s"), (7, "", "en", "s"),
+    ]
+    out = simhash.one_of_each(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert len(out) == 4 and all(tuple(r) in rows for r in out)
+    assert Counter((r.doc_id, (r.text or "").lower()) for r in out) == Counter([(1, a), (0, b), (None, c), (7, "")])
