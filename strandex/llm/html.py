@@ -218,6 +218,11 @@ def features(nodes: list[Node]) -> np.ndarray:
             a[up] += a[i]
     total = max(1.0, chars[0])
     out = np.zeros((n, N_FEATURES))
+    places, tags = np.zeros(n, dtype=int), {}  # the number of a node among its siblings; how many of a tag a parent has
+    for x in nodes:
+        for k, s in enumerate(x.children):
+            places[at[id(s)]] = k
+            tags[id(x), s.tag] = tags.get((id(x), s.tag), 0) + 1
     for i, x in enumerate(nodes):
         up = parent[i]
         row = out[i]
@@ -229,11 +234,9 @@ def features(nodes: list[Node]) -> np.ndarray:
             row[above : above + N_TAGS] = np.maximum(out[up, above : above + N_TAGS], out[up, :N_TAGS])
             tail = above + N_TAGS
             row[tail : tail + N_HINTS + 1] = np.maximum(out[up, tail : tail + N_HINTS + 1], out[up, N_TAGS : N_TAGS + N_HINTS + 1])
-            siblings = x.parent.children
-            k, m = next(j for j, s in enumerate(siblings) if s is x) if len(siblings) < 64 else 0, len(siblings)
-            same = sum(s.tag == x.tag for s in siblings[:64])
+            k, m, same = places[i], len(x.parent.children), tags[id(x.parent), x.tag]
             beside = chars[up] - chars[i]
-            place = (k / m, min(m, 50), same / min(m, 64), chars[i] / max(1.0, chars[up]), np.log1p(beside))
+            place = (k / m, min(m, 50), same / m, chars[i] / max(1.0, chars[up]), np.log1p(beside))
         else:
             place = (0.0, 1.0, 1.0, 1.0, 0.0)
         c = max(1.0, chars[i])
