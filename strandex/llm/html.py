@@ -19,10 +19,13 @@ from strandex.llm.common import table
 PAGES, SEED = 1200, 5
 
 # Fixed values of HTML.
-_RAW = frozenset("script style textarea title noscript template iframe noframes xmp svg math object select".split())
+_RAW = frozenset("script style textarea title iframe noframes xmp".split())
+#: Elements of drawings and formulas; there, and only there, a slash before ">" closes any element.
+_FOREIGN = frozenset("svg math".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "svg g path circle rect line polygon polyline ellipse text tspan defs use symbol desc math semantics annotation mrow mi mo mn ms mtext mspace mfrac msqrt mroot msup msub msubsup "
+    "munder mover munderover mfenced mstyle mpadded mtable mtr mtd object a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 _CLOSES_P = frozenset(
     "address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
@@ -118,12 +121,16 @@ def parse(html: str) -> Node:
             elif tag == "hr":
                 leaf = None
             continue
+        if attrs.endswith("/") and (tag in _FOREIGN or any(t in _FOREIGN for t, _ in stack)):
+            continue
         if tag in _RAW:
             if not attrs.endswith("/"):
                 end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+                if tag == "xmp":  # its text is shown, as it stands
+                    leaf = None
+                    text(html[at : end.start() if end else n].replace("&", "&amp;"))
                 at = end.end() if end else n
-            if tag not in ("svg", "math"):
-                leaf = leaf if tag in ("script", "template", "noscript") else None
+            leaf = leaf if tag == "script" else None
             continue
         if tag in _INLINE:
             links += tag == "a"

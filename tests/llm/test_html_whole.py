@@ -12,3 +12,17 @@ def test_place_and_share_of_many_siblings():
     got = {tag: np.array([r for x, r in zip(nodes, rows) if x.tag == tag]) for tag in ("p", "h2")}
     assert np.allclose(got["p"][:, 0], np.arange(150) / 200) and np.allclose(got["h2"][:, 0], np.arange(150, 200) / 200)
     assert np.allclose(got["p"][:, 2], 0.75) and np.allclose(got["h2"][:, 2], 0.25)
+
+
+def runs(page):
+    return [html._tidy(r for r, _ in x.runs) for x in html.flatten(html.parse(page)) if x.tag == "#text"]
+
+
+@pytest.mark.parametrize("tag", ["select", "object", "svg", "math", "noscript", "template"])
+def test_an_element_without_its_end_hides_nothing(tag):
+    assert runs(f"<p>a</p><{tag}><article><p>b</p><p>c</p></article>") == ["a", "b", "c"]
+
+
+def test_formulas_and_fallback_text_stay():
+    assert runs("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn><mspace/></math> then <svg><path d='M0'/></svg>so</p>") == ["if x=1 then so"]
+    assert " ".join(runs("<p>a<object data=x>b <i>c</i></object><xmp><p>&amp;</xmp><noscript>d</noscript><script>no<p></script>")) == "ab c <p>&amp; d"
