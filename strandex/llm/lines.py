@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from strandex.llm.common import cut, table
 from strandex.llm.components import connected_components
 
-#: Characters of a shingle; rows of a band and bands (a pair at 0.8 is found with probability 0.985); least Jaccard.
-SHINGLE, ROWS, BANDS, JACCARD = 8, 4, 8, 0.8
+#: Characters of a shingle; rows of a band and bands (a pair at 0.8 is found with probability 0.9998); least Jaccard.
+SHINGLE, ROWS, BANDS, JACCARD = 8, 4, 16, 0.8
 SEED = 23
 #: Lines with a neighbour in a band whose places may be broadcast (some 40 bytes each).
 MOST_PLACES = 1_000_000
@@ -171,7 +171,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Lines are cut at newlines, numbered from 0 and trimmed. Equal lines are one node (by a 128-bit digest), so a line that is everywhere never
     meets itself. Nodes that share a band are compared by the Jaccard similarity of their shingle sets; components of
     pairs at ``least`` or more keep the occurrence with the least (doc_id, line_no), null ids first.
-    Banding finds a pair at the threshold with probability 0.985 and a closer one with more.
+    Banding finds a pair at the threshold with probability 0.9998 and a closer one with more.
     """
     rows = cut(_occurrences(docs, id_col, text_col, False))
     lines = cut(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "line_no")).alias("first")))
