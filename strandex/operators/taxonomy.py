@@ -7,28 +7,24 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from strandex.constants import ARCHAEA, BACTERIA, CELLULAR, CORE_DOMAINS, DOMAIN_GROUPS, FUNGI, ROOT, VIRUSES
 from strandex.operators.common import settle
 
-#: Doublings of the known part of a lineage: enough for 2**8 levels.
-DOUBLINGS = 8
-
 
 def lineages(nodes: DataFrame, root: int = ROOT) -> DataFrame:
     """``(taxid, lineage)``: the path from the root for every node of ``nodes(taxid, parent)`` that the root reaches.
 
     Paths grow by doubling: each step appends the path of the node that a path has come to, so a tree of 256 levels
-    takes eight joins. The root is its own parent or has none; nodes of other roots or of loops are left out.
+    takes eight joins, and there are as many as the depth asks for. The root is its own parent or has none; nodes of
+    other roots or of loops are left out, the latter as soon as a path meets a taxid again.
     """
     top = F.when((F.col("taxid") == root) | F.col("parent").isNull(), F.lit(None)).otherwise(F.col("parent"))
     state = nodes.where("taxid IS NOT NULL").dropDuplicates(["taxid"]).select("taxid", top.cast("long").alias("top"), F.array(F.col("taxid").cast("long")).alias("path"))
-    for _ in range(DOUBLINGS):
-        state = settle(state)
-        if state.where("top IS NOT NULL").isEmpty():
-            break
+    while not (state := settle(state)).where("top IS NOT NULL").isEmpty():
         above = state.select(F.col("taxid").alias("top"), F.col("top").alias("next"), F.col("path").alias("before"))
-        state = state.join(above, "top", "left").select(
+        grown = state.join(above, "top", "left").select(
             "taxid",
             F.when(F.col("before").isNotNull(), F.col("next")).alias("top"),
             F.when(F.col("before").isNotNull(), F.concat("before", "path")).otherwise(F.col("path")).alias("path"),
         )
+        state = grown.where(F.size("path") == F.size(F.array_distinct("path")))
     return state.where((F.col("path")[0] == root) & F.col("top").isNull()).select("taxid", F.col("path").alias("lineage"))
 
 
