@@ -343,6 +343,11 @@ def class_stats(spark, sf):
     return reports.class_stats(index.equivalence_classes(_sets(spark, sf)[2]))
 
 
+@query()
+def class_bytes(spark, sf):
+    return reports.class_bytes(index.equivalence_classes(_sets(spark, sf)[2]))
+
+
 @query()
 def vbyte_codes(spark, sf):
     """The accession sets as delta-coded bytes; tests decode them."""
