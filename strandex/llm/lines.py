@@ -1,31 +1,35 @@
 """Near-duplicate lines by MinHash over character shingles, verified exactly, one line kept of each component.
 
-Signatures and verification are vectorised over Arrow batches, not DataFrame functions: README.md has the figures of
-the native form.
+DataFrame functions only, from the split into lines to the components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from hashlib import md5
+import random
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from strandex.llm.common import cut, table
 from strandex.llm.components import connected_components
 
-#: Characters of a shingle; rows of a band and bands (a pair at 0.8 is found with probability 0.9998); least Jaccard.
-SHINGLE, ROWS, BANDS, JACCARD = 8, 4, 16, 0.8
+#: Characters of a shingle; rows of a band, values of a row and bands; least Jaccard.
+SHINGLE, ROWS, VALUES, BANDS, JACCARD = 8, 4, 8, 18, 0.8
 SEED = 23
-#: Lines with a neighbour in a band whose places may be broadcast (some 40 bytes each).
-MOST_PLACES = 1_000_000
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Shingles that a row of the signing aggregation takes.
+STEP = 8
+#: Lines with a neighbour in a band whose 64-bit handles may be broadcast (some 24 bytes each).
+MOST_HANDLES = 1_000_000
+#: Members up to which the pairs of a bucket are compared as they are; larger buckets are dealt by rare shingles first.
+SMALL = 32
+#: What is trimmed: white space as Unicode has it.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+#: 64-bit words of a line's bit map, and lines whose maps (some 300 bytes each) may be broadcast.
+MAP_WORDS, MOST_MAPS = 32, 100_000
 
 
 def shingles(line: str, size: int = SHINGLE) -> set[str]:
-    """The distinct runs of ``size`` characters; a shorter line is one shingle."""
+    """The distinct runs of ``size`` characters; a shorter line is one shingle. (The plain model, for tests.)"""
     return {line[i : i + size] for i in range(max(1, len(line) - size + 1))}
 
 
@@ -34,178 +38,223 @@ def jaccard(a: set, b: set) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _hashes(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every shingle of all lines, one after the other, and where each line's begin."""
-    lengths = np.array([max(len(x), size) for x in lines])
-    codes = np.frombuffer("".join(x.ljust(size, "\0") for x in lines).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    runs = np.zeros(len(codes) - size + 1, dtype=np.uint64)
-    for j in range(size):
-        runs *= np.uint64(0x100000001B3)
-        runs += codes[j : j + len(runs)]
-    counts = lengths - size + 1
-    begin = np.cumsum(lengths) - lengths
-    first = np.cumsum(counts) - counts
-    at = np.arange(counts.sum()) + np.repeat(begin - first, counts)
-    h = runs[at]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    return h, first
-
-
-def band_keys(lines: list[str], size: int = SHINGLE, rows: int = ROWS, bands: int = BANDS, seed: int = SEED) -> np.ndarray:
-    """A key for each line and band, from the least hashes of ``rows`` hash functions."""
-    rnd = np.random.default_rng(seed)
-    factors = rnd.integers(0, 1 << 31, rows * bands, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    offsets = rnd.integers(0, 1 << 32, rows * bands, dtype=np.uint32)
-    h, first = _hashes(lines, size)
-    h = (h >> np.uint64(32)).astype(np.uint32)
-    mixed = np.empty_like(h)
-    out = np.zeros((len(lines), bands), dtype=np.uint64)
-    for b in range(bands):
-        key = np.full(len(lines), b + 1, dtype=np.uint64)
-        for j in range(b * rows, (b + 1) * rows):
-            np.multiply(h, factors[j], out=mixed)
-            np.add(mixed, offsets[j], out=mixed)
-            key = (key ^ np.minimum.reduceat(mixed, first).astype(np.uint64)) * _MIX
-            key ^= key >> np.uint64(31)
-        out[:, b] = key
-    return out.view(np.int64)
-
-
-def _occurrences(docs: DataFrame, id_col: str, text_col: str, signed: bool) -> DataFrame:
-    """``(doc_id, line_no, digest)`` of every line that isn't blank, trimmed of outer white space; ``bands`` if ``signed``."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, numbers, lines, held = [], [], [], 0
-            for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
-                for n, line in enumerate((text.as_py() or "").split("\n")):
-                    if line := line.strip():
-                        ids.append(doc_id)
-                        numbers.append(n)
-                        lines.append(line)
-                        held += len(line)
-                if lines and (held > 1 << 20 or i == batch.num_rows - 1):
-                    digests = [md5(x.encode("utf-8", "surrogatepass")).digest() for x in lines]
-                    columns = {"doc_id": pa.array(ids, pa.int64()), "line_no": pa.array(numbers, pa.int32()), "digest": pa.array(digests, pa.binary())}
-                    if signed:
-                        columns["bands"] = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(lines).ravel()), BANDS).cast(pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_pydict(columns)
-                    ids, numbers, lines, held = [], [], [], 0
-            if lines:
-                raise AssertionError("lines left over")
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    return rows.mapInArrow(run, "doc_id long, line_no int, digest binary" + ", bands array<long>" * signed)
-
-
-def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, those that aren't alone with theirs; a row waits for the next to tell."""
-    last, waiting, told = None, None, True  # the key of the row before, that row, and whether it is out already
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = np.asarray(batch.column(0))
-        same = key[1:] == key[:-1]
-        head = last is not None and key[0] == last
-        if head and not told:
-            yield waiting
-        keep = np.concatenate([[head], same]) | np.concatenate([same, [False]])
-        if keep.any():
-            yield batch.filter(pa.array(keep))
-        last, waiting, told = key[-1], batch.slice(batch.num_rows - 1), bool(keep[-1])
-
-
-def _verified(least: float):
-    """Edges between lines of a bucket: stars of what chains of pairs at ``least`` or more connect in it."""
-
-    def bucket(rows: list[tuple[bytes, str]]) -> list[tuple[bytes, bytes]]:
-        sets: list[set[str]] = []
-        groups: list[list[int]] = []
-
-        def near(a: set[str], b: set[str]) -> bool:
-            small, large = sorted((len(a), len(b)))
-            return small >= least * large and jaccard(a, b) >= least
-
-        for i, (_, text) in enumerate(rows):
-            own = shingles(text)
-            sets.append(own)
-            joined, apart = [i], []
-            for group in groups:  # the first near member joins a group; the others are not compared
-                if any(near(own, sets[j]) for j in group):
-                    joined += group
-                else:
-                    apart.append(group)
-            groups = [*apart, joined]
-        return [(rows[i][0], rows[group[0]][0]) for group in groups for i in group[1:]]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, out = None, [], []
-        for batch in batches:
-            for value, digest, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if value != key:
-                    out += bucket(held)
-                    key, held = value, []
-                held.append((digest, text))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.binary()), pa.array([e[1] for e in out], pa.binary())], names=["a", "b"])
-                out = []
-        if out := bucket(held):
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.binary()), pa.array([e[1] for e in out], pa.binary())], names=["a", "b"])
-
-    return run
-
-
-def _different(shared: DataFrame) -> DataFrame:
-    """``shared(key, handle)`` without buckets that have just the members of another one: close lines meet in most bands."""
+# -- lines, shingles, signatures ------------------------------------------------------------------------------------
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often lambdas in it refer to it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _units(line: Column) -> Column:
+    return F.encode(line, "UTF-16BE")
+
+
+def _last(units: Column) -> Column:
+    """Where the last shingle begins."""
+    return F.greatest(F.shiftright(F.octet_length(units), 1) - SHINGLE, F.lit(0))
+
+
+def _hash(units: Column, at: Column) -> Column:
+    return F.xxhash64(F.substring(units, at * 2 + 1, F.lit(2 * SHINGLE)))
+
+
+def shingle_hashes(line: Column) -> Column:
+    """The 64-bit hashes of the distinct shingles of a line."""
+    return F.array_distinct(_let(_units(line), lambda u: F.transform(F.sequence(F.lit(0), _last(u)), lambda i: _hash(u, i))))
+
+
+def _similarity(a: Column, b: Column) -> Column:
+    """Jaccard of two arrays of distinct hashes."""
+    both = F.size(F.array_intersect(a, b))
+    return both / (F.size(a) + F.size(b) - both)
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, line_no, line)`` of every line that isn't blank, trimmed of outer white space."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
+    return rows.withColumn("line", F.btrim("line", F.lit(WHITE))).where("line <> ''")
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """``(digest, handle, m0, m1, ...)`` for ``lines(digest, line, handle)``, a row for each digest and partitioned by it.
+
+    Value q of row r is the least of all shingles' hashes, turned by 16 r bits, each in exclusive or with a constant: the hash
+    that is next to a random point of an order of its own for each row. Shingles are hashed STEP to a row and their
+    least values found there, so the aggregation sees an eighth of the rows.
+    """
+    rnd = random.Random(SEED)
+    points = [[rnd.getrandbits(64) - (1 << 63) for _ in range(VALUES)] for _ in range(ROWS)]
+    units = lines.select("digest", "handle", _units(F.col("line")).alias("u")).withColumn("last", _last(F.col("u")))
+    places = units.select("digest", "handle", "u", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("i"))
+    hashed = places.select("digest", "handle", *[_hash(F.col("u"), F.least(F.col("i") + k, F.col("last"))).alias(f"h{k}") for k in range(STEP)])
+
+    def turned(h: Column, r: int) -> Column:
+        return h if r == 0 else F.shiftleft(h, 16 * r).bitwiseOR(F.shiftrightunsigned(h, 64 - 16 * r))
+
+    def least(r: int, point: int) -> Column:
+        return F.min(F.least(*[turned(F.col(f"h{k}"), r).bitwiseXOR(F.lit(point)) for k in range(STEP)]))
+
+    return hashed.groupBy("digest", "handle").agg(*[least(r, p).alias(f"m{r * VALUES + q}") for r, row in enumerate(points) for q, p in enumerate(row)])
+
+
+def band_keys(bands: int = BANDS) -> list[Column]:
+    """Of columns m0, m1, ...: a key for each band. Band (t, a) takes value a + r t of row r: no two share more than one."""
+    picks = [[r * VALUES + (b % VALUES + r * (b // VALUES)) % VALUES for r in range(ROWS)] for b in range(bands)]
+    return [F.xxhash64(*[F.col(f"m{i}") for i in pick], F.lit(b)) for b, pick in enumerate(picks)]
+
+
+# -- verification -----------------------------------------------------------------------------------------------------
+
+
+def _ends(pairs: DataFrame, lines: DataFrame, name: str) -> DataFrame:
+    """``pairs(a, b)`` of handles with the columns of ``lines(handle, ...)``, as ``a_...`` or ``b_...``."""
+    end = lines.select(F.col("handle").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in lines.columns if c != "handle"])
+    return pairs.join(end, name)
+
+
+def _near(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Edges ``(a, b)`` between digests: the ``pairs(a, b)`` of handles whose lines are alike; ``texts(handle, digest, line)``."""
+    both = _ends(_ends(pairs, texts, "a"), texts, "b").where("a_digest <> b_digest")
+    sets = both.select("a_digest", "b_digest", shingle_hashes(F.col("a_line")).alias("sa"), shingle_hashes(F.col("b_line")).alias("sb"))
+    return sets.where(_similarity(F.col("sa"), F.col("sb")) >= least).select(F.col("a_digest").alias("a"), F.col("b_digest").alias("b"))
+
+
+def _possible(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The ``pairs(a, b)`` that bit maps of their shingles don't rule out.
+
+    A bit that is set in one map only stands for at least one shingle that is in one set only. With x and y such bits and
+    n places of shingles, the similarity is at most (n - x) / (n + y), so nothing that could be near is lost.
+    """
+    some = pairs.select(F.col("a").alias("handle")).union(pairs.select(F.col("b").alias("handle"))).distinct()
+    units = texts.join(some, "handle", "left_semi").select("handle", "digest", _units(F.col("line")).alias("u")).withColumn("last", _last(F.col("u")))
+    places = units.select("handle", "digest", "u", "last", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
+    hashed = places.select("handle", "digest", "last", _hash(F.col("u"), F.col("i")).alias("h"))
+    one = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) AS int))")
+    words = hashed.groupBy("handle", "digest", "last", F.col("h").bitwiseAND(F.lit(MAP_WORDS - 1)).alias("w")).agg(F.bit_or(one).alias("bits"))
+    maps = words.groupBy("handle", "digest").agg((F.max("last") + 1).alias("n"), *[F.coalesce(F.max(F.when(F.col("w") == k, F.col("bits"))), F.lit(0)).alias(f"m{k}") for k in range(MAP_WORDS)])
+    maps = cut(maps.drop("digest"))
+    if maps.count() <= MOST_MAPS:
+        maps = F.broadcast(maps)
+    both = _ends(_ends(pairs, maps, "a"), maps, "b")
+    alone = {
+        (x, y): sum((F.bit_count(F.col(f"{x}_m{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}_m{k}")))) for k in range(MAP_WORDS)), F.lit(0)) for x, y in ("ab", "ba")
+    }
+    both = both.select("a", "b", "a_n", "b_n", alone["a", "b"].alias("x"), alone["b", "a"].alias("y"))
+    return both.where((F.col("a_n") - F.col("x") >= least * (F.col("a_n") + F.col("y"))) & (F.col("b_n") - F.col("y") >= least * (F.col("b_n") + F.col("x")))).select("a", "b").distinct()
+
+
+def _with_pivots(buckets: DataFrame) -> DataFrame:
+    """``(key, handle, pivot)`` of the buckets with several lines: the pivot is the line that meets most others in all its buckets."""
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = buckets.join(sizes, "key")
+    scores = met.groupBy("handle").agg(F.sum("n").alias("score"))
+    scored = cut(met.join(scores, "handle"))
+    pivots = scored.groupBy("key").agg(F.max(F.struct("score", "handle"))["handle"].alias("pivot"))
+    return scored.select("key", "handle").join(pivots, "key")
+
+
+def _stars(buckets: DataFrame) -> DataFrame:
+    """``(a, b)``: each member of ``buckets(key, handle, pivot)`` with the pivot of its bucket."""
+    return buckets.where("handle <> pivot").select(F.col("pivot").alias("a"), F.col("handle").alias("b")).distinct()
+
+
+def _open(buckets: DataFrame, texts: DataFrame, edges: DataFrame) -> DataFrame:
+    """``buckets`` with ``root`` and ``n``, where members are of several components; of buckets with the same members, one."""
+    roots = connected_components(edges).withColumnRenamed("node", "digest")
+    labels = texts.select("handle", "digest").join(roots, "digest", "left").select("handle", F.coalesce("root", "digest").alias("root"))
+    members = buckets.join(labels, "handle")
     mixes = [F.bit_xor(F.xxhash64("handle", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
-    sets = shared.groupBy("key").agg(F.count("*").alias("n"), F.min("handle").alias("least"), *mixes)
-    first = sets.groupBy("n", "least", "x1", "x2").agg(F.min("key").alias("key")).select("key")
-    return cut(shared.join(first, "key", "left_semi"))
+    sets = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), *mixes)
+    left = sets.where("n > 2 AND low <> high").groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key", "n")
+    return cut(members.join(left, "key"))
+
+
+def _across(members: DataFrame, more: Column | None = None) -> DataFrame:
+    """``(a, b)``: the pairs of handles of a bucket that are of different components."""
+    left = members.select("key", *[F.col(c).alias(f"a_{c}") for c in members.columns if c != "key"])
+    right = members.select("key", *[F.col(c).alias(f"b_{c}") for c in members.columns if c != "key"])
+    pairs = left.join(right, (left["key"] == right["key"]) & F.expr("a_handle < b_handle AND a_root <> b_root") & (F.lit(True) if more is None else more))
+    return pairs.select(F.col("a_handle").alias("a"), F.col("b_handle").alias("b")).distinct()
+
+
+def _by_rare_shingles(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """``(key, handle, size, place)``: the lines of ``members`` in a bucket for each of their rarest shingles.
+
+    Two sets whose Jaccard similarity is ``least`` share one of the rarest n - ceil(least n) + 1 of each set's n, in any
+    order that is the same for all; so no link is lost, and what many unlike lines have in common isn't among these.
+    """
+    sets = texts.join(members.select("handle").distinct(), "handle", "left_semi").select("handle", shingle_hashes(F.col("line")).alias("s"))
+    tokens = cut(sets.select("handle", F.size("s").alias("size"), F.explode("s").alias("key")))
+    ranked = tokens.join(tokens.groupBy("key").agg(F.count("*").alias("df")), "key")
+    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("handle").orderBy("df", "key")))
+    rare = ranked.where((F.col("df") > 1) & (F.col("place") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1))
+    return cut(rare.select("key", "handle", "size", "place"))
+
+
+def links(shared: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Edges ``(a, b)`` between digests that connect what pairs at ``least`` or more connect within buckets of ``shared(key, handle)``.
+
+    First every member of a bucket is compared with the bucket's pivot. Then only buckets of which the members are still in
+    several components matter, and in them only pairs across components: in buckets of up to SMALL members those that bit maps
+    don't rule out; larger buckets are dealt anew by their rarest shingles, where the places of a shared shingle in
+    both sets bound the similarity. So no pair of a bucket that could connect anything is left out, a large bucket of lines that
+    are alike costs its size, and so does one of lines that are not.
+    """
+    buckets = cut(_with_pivots(shared))
+    stars = _stars(buckets)
+    edges = cut(_near(stars, texts, least))
+    left = _open(buckets.select("key", "handle"), texts, edges)
+    pairs = _across(left.where(F.col("n") <= SMALL))
+    large = left.where(F.col("n") > SMALL)
+    if not large.isEmpty():
+        rare = _by_rare_shingles(large, texts, least)
+        again = cut(_with_pivots(rare.select("key", "handle")))
+        edges = cut(edges.unionByName(_near(_stars(again).join(stars, ["a", "b"], "left_anti"), texts, least)).distinct())
+        places = _open(rare, texts, edges)
+        both = F.least(F.expr("a_size - a_place"), F.expr("b_size - b_place")) + 1
+        pairs = pairs.unionByName(_across(places, both >= (F.expr("a_size + b_size")) * (least / (1 + least)) - 1e-6)).distinct()
+    pairs = cut(pairs.join(stars, ["a", "b"], "left_anti"))
+    return edges.unionByName(_near(_possible(pairs, texts, least), texts, least))
+
+
+# -- the operator -----------------------------------------------------------------------------------------------------
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = JACCARD) -> DataFrame:
     """``(doc_id, line_no, keep_doc, keep_line)`` of every line that isn't blank: the occurrence that its component keeps.
 
-    Lines are cut at newlines, numbered from 0 and trimmed. Equal lines are one node (by a 128-bit digest), so a line that is everywhere never
-    meets itself. Nodes that share a band are compared by the Jaccard similarity of their shingle sets; components of
-    pairs at ``least`` or more keep the occurrence with the least (doc_id, line_no), null ids first.
-    Banding finds a pair at the threshold with probability 0.9998 and a closer one with more.
+    Lines are cut at newlines, numbered from 0 and trimmed of white space. Equal lines are one node (by a 128-bit digest), so a line that is
+    everywhere never meets itself; each task combines its copies before any shuffle. A shingle is a run of SHINGLE
+    characters (UTF-16 units), a shorter line is one shingle. Lines that share a band are compared by the exact Jaccard similarity of
+    their sets of shingles, of which 64-bit hashes stand for the shingles; components of pairs at ``least`` or more keep the occurrence with the least
+    (doc_id, line_no), null ids first. Banding finds a pair at 0.8 with probability 0.999 and closer ones with more.
+
+    Null, empty and blank texts have no lines; an empty table gives no rows; rows that repeat give their occurrences
+    again; other columns of ``docs``, whatever their names, aren't read.
     """
-    rows = cut(_occurrences(docs, id_col, text_col, False))
-    lines = cut(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "line_no")).alias("first")))
-    # in the buckets a line is a 64-bit handle; should two lines share one, both are verified
-    handle = F.xxhash64("digest").alias("handle")
-    signed = _occurrences(docs, id_col, text_col, True).groupBy("digest").agg(F.any_value("bands").alias("bands"))
-    banded = signed.select(F.explode("bands").alias("key"), handle).repartition("key").sortWithinPartitions("key")
-    shared = _different(cut(banded.mapInArrow(_shared, "key long, handle long")))
-    places = lines.select("digest", handle, "first").join(shared.select("handle").distinct(), "handle", "left_semi")
-    places = cut(places.select("handle", "digest", F.col("first.doc_id").alias("doc"), F.col("first.line_no").alias("no")))
-    wanted = places.groupBy("doc").agg(F.collect_list(F.struct("no", "digest")).alias("w"))
-    if places.count() <= MOST_PLACES:
+    rows = _lines(docs, id_col, text_col)
+    digest = F.unhex(F.md5("line")).alias("digest")
+    # in the buckets a line is a 64-bit handle; lines that share one are told apart by digest
+    handle = F.xxhash64("line").alias("handle")
+    lines = rows.select(digest, "line").groupBy("digest").agg(F.any_value("line").alias("line"))
+    signed = signatures(lines.select("digest", "line", handle))
+    banded = signed.select(F.explode(F.array(*band_keys())).alias("key"), "handle")
+    bucket = Window.partitionBy("key")
+    shared = banded.select("key", "handle", F.max("handle").over(bucket).alias("high"), F.min("handle").over(bucket).alias("low"))
+    shared = cut(shared.where("low <> high").select("key", "handle"))
+    wanted = cut(shared.select("handle").distinct())
+    if wanted.count() <= MOST_HANDLES:
         wanted = F.broadcast(wanted)
-    texts = docs.select(F.col(id_col).cast("long").alias("own"), F.col(text_col).alias("text"))
-    texts = texts.join(wanted, F.col("own").eqNullSafe(F.col("doc"))).select(F.split("text", "\n").alias("t"), F.explode("w").alias("w"))
-    # white space as Python's strip sees it is taken off in the same way as before the digest, and the digest tells
-    texts = texts.select(F.col("w.digest").alias("digest"), F.get("t", F.col("w.no")).alias("line")).where("line IS NOT NULL")
-    texts = texts.mapInArrow(_same_digest, "digest binary, line string").dropDuplicates(["digest"])
-    members = shared.join(places.select("handle", "digest"), "handle").join(texts, "digest").select("key", "digest", "line")
-    edges = members.repartition("key").sortWithinPartitions("key", "digest").mapInArrow(_verified(least), "a binary, b binary")
-    roots = connected_components(edges).withColumnRenamed("node", "digest")
-    linked = cut(roots.join(lines.select("digest", "first"), "digest"))
+    texts = rows.select(handle, "line").join(wanted, "handle", "left_semi").select("handle", "line", digest)
+    texts = cut(texts.groupBy("handle", "digest").agg(F.any_value("line").alias("line")))
+    roots = connected_components(links(shared, texts, least)).withColumnRenamed("node", "digest")
+    found = cut(rows.select("doc_id", "line_no", digest))
+    firsts = found.groupBy("digest").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    linked = cut(roots.join(firsts, "digest"))
     named = linked.join(linked.groupBy("root").agg(F.min("first").alias("keep")), "root").select("digest", "keep")
-    classes = lines.join(named, "digest", "left").select("digest", F.when(F.col("keep").isNull(), F.col("first")).otherwise(F.col("keep")).alias("keep"))
-    found = rows.join(classes, "digest")
-    return found.select("doc_id", "line_no", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line"))
-
-
-def _same_digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines whose digest is the wanted one; others come from a row that has the same id."""
-    for batch in batches:
-        lines = [x.as_py().strip() for x in batch.column(1)]
-        keep = [i for i, (x, d) in enumerate(zip(lines, batch.column(0).to_pylist())) if md5(x.encode("utf-8", "surrogatepass")).digest() == d]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([lines[i] for i in keep], pa.string())], names=["digest", "line"])
+    classes = firsts.join(named, "digest", "left").select("digest", F.when(F.col("keep").isNull(), F.col("first")).otherwise(F.col("keep")).alias("keep"))
+    return found.join(classes, "digest").select("doc_id", "line_no", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line"))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = JACCARD) -> DataFrame:
@@ -218,16 +267,18 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with their dropped lines taken out of the text; rows that share an id lose the same numbers."""
     gone = dropped.select(F.col("doc_id").alias("__doc"), F.col("dropped").alias("__gone"))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["__doc"]), "left")
-    kept = F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains("__gone", i))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    joined = whole.join(gone, F.col("__row")[id_col].eqNullSafe(F.col("__doc")), "left")
+    kept = F.filter(F.split(F.col("__row")[text_col], "\n"), lambda _, i: ~F.array_contains("__gone", i))
+    text = F.when(F.col("__gone").isNull(), F.col("__row")[text_col]).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*[(text if c == text_col else F.col("__row")[c]).alias(c) for c in docs.columns])
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     gone = dropped_lines(docs).withColumnRenamed("doc_id", "__doc")
-    counts = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines"))
+    breaks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    counts = docs.select("doc_id", (F.coalesce(breaks, F.lit(0)) + 1).alias("n_lines"))
     out = counts.join(gone, counts["doc_id"].eqNullSafe(gone["__doc"]), "left")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
     return out.select("doc_id", "n_lines", dropped.alias("dropped"), (F.col("n_lines") - F.size(dropped)).alias("n_kept"))
