@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,3 +24,9 @@ def cut(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the folder that the cluster shares, so a lost executor loses none of it."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Has the driver's JVM collect: Spark removes the shuffle files of plans that it then finds to be done with."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

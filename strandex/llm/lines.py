@@ -10,14 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from strandex.llm.common import cut, table
+from strandex.llm.common import cut, release, table
 from strandex.llm.components import connected_components
 
 #: Characters of a shingle; rows of a band, values of a row and bands; least Jaccard.
 SHINGLE, ROWS, VALUES, BANDS, JACCARD = 8, 4, 8, 18, 0.8
 SEED = 23
 #: Shingles that a row of the signing aggregation takes.
-STEP = 8
+STEP = 16
 #: Lines with a neighbour in a band whose 64-bit handles may be broadcast (some 24 bytes each).
 MOST_HANDLES = 1_000_000
 #: Members up to which the pairs of a bucket are compared as they are; larger buckets are dealt by rare shingles first.
@@ -81,7 +81,7 @@ def signatures(lines: DataFrame) -> DataFrame:
 
     Value q of row r is the least of all shingles' hashes, turned by 16 r bits, each in exclusive or with a constant: the hash
     that is next to a random point of an order of its own for each row. Shingles are hashed STEP to a row and their
-    least values found there, so the aggregation sees an eighth of the rows.
+    least values found there, so the aggregation sees a sixteenth of the rows.
     """
     rnd = random.Random(SEED)
     points = [[rnd.getrandbits(64) - (1 << 63) for _ in range(VALUES)] for _ in range(ROWS)]
@@ -205,6 +205,7 @@ def links(shared: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     stars = _stars(buckets)
     edges = cut(_near(stars, texts, least))
     left = _open(buckets.select("key", "handle"), texts, edges)
+    release(texts.sparkSession)
     pairs = _across(left.where(F.col("n") <= SMALL))
     large = left.where(F.col("n") > SMALL)
     if not large.isEmpty():
@@ -215,6 +216,7 @@ def links(shared: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         both = F.least(F.expr("a_size - a_place"), F.expr("b_size - b_place")) + 1
         pairs = pairs.unionByName(_across(places, both >= (F.expr("a_size + b_size")) * (least / (1 + least)) - 1e-6)).distinct()
     pairs = cut(pairs.join(stars, ["a", "b"], "left_anti"))
+    release(texts.sparkSession)
     return edges.unionByName(_near(_possible(pairs, texts, least), texts, least))
 
 
@@ -243,6 +245,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bucket = Window.partitionBy("key")
     shared = banded.select("key", "handle", F.max("handle").over(bucket).alias("high"), F.min("handle").over(bucket).alias("low"))
     shared = cut(shared.where("low <> high").select("key", "handle"))
+    release(docs.sparkSession)
     wanted = cut(shared.select("handle").distinct())
     if wanted.count() <= MOST_HANDLES:
         wanted = F.broadcast(wanted)
