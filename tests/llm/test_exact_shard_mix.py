@@ -97,3 +97,69 @@ def test_rates_and_weights(spark):
     assert got == {"s": pytest.approx(90 * 0.75 / 5), None: pytest.approx(90 * 0.25), "t": 0.0}
     assert mixing.mixed(spark, docs, "").columns == docs.columns
     assert mixing.mixed(spark, frame(spark, []), "").count() == 0
+
+
+def many(spark, parts):
+    rows = [(i % 2900, f"text {i % 2900} " * (i % 7), {"k": i % 5}) for i in range(3000)]  # some rows repeat
+    return spark.createDataFrame(rows, "doc_id long, text string, tags map<string,int>").repartition(parts)
+
+
+def slots(spark, parts, **conf):
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        return Counter((r.doc_id, r.text, r.tags["k"], r.shard, r.slot) for r in sharding.shard(many(spark, parts), shards=3, seed=5).collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_slots_depend_on_seed_and_rows_alone(spark):
+    base = slots(spark, 4)
+    assert sum(base.values()) == 3000
+    assert slots(spark, 16, **{"spark.sql.shuffle.partitions": "16"}) == base
+    assert slots(spark, 3, **{"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "7"}) == base
+
+
+def test_slots_against_plain_fisher_yates(spark):
+    """Buckets gathered, sorted and shuffled in Python, with the same draws."""
+    docs, seed, shards = many(spark, 4).drop("tags"), 5, 3
+    total = docs.count()
+    buckets = -(-total // (sharding.BUCKET_ROWS * shards))
+    rows = docs.select(
+        "doc_id", "text", sharding._best(F.col("doc_id"), shards, seed).alias("s"),
+        F.pmod(F.xxhash64(F.lit(seed), F.lit("bucket"), "doc_id", "text"), F.lit(buckets)).alias("b"),
+    ).collect()
+    draws = {
+        (r.s, r.b, r.i): r.d
+        for r in spark.range(shards).selectExpr("CAST(id AS INT) AS s").crossJoin(spark.range(buckets).selectExpr("id AS b")).crossJoin(spark.range(1, 1024).selectExpr("CAST(id AS INT) AS i"))
+        .select("s", "b", "i", F.pmod(F.xxhash64(F.lit(seed), "s", "b", F.lit(0), "i"), F.col("i") + 1).alias("d")).collect()
+    }
+    want = Counter()
+    for s in range(shards):
+        at = 0
+        for b in range(buckets):
+            own = sorted((r.doc_id, zlib.crc32(r.text.encode()), r.text) for r in rows if (r.s, r.b) == (s, b))
+            for i in range(len(own) - 1, 0, -1):
+                j = draws[s, b, i]
+                own[i], own[j] = own[j], own[i]
+            want += Counter((x[0], s, at + k) for k, x in enumerate(own))
+            at += len(own)
+    got = Counter((r.doc_id, r.shard, r.slot) for r in sharding.shard(docs, shards=shards, seed=seed).collect())
+    assert got == want
+
+
+def test_rows_that_repeat_too_often_for_a_bucket(spark):
+    docs = spark.range(5000).selectExpr("1L AS doc_id", "'same' AS text")
+    out = sharding.shard(docs, shards=2).collect()
+    assert sorted(r.slot for r in out) == list(range(5000)) and len({r.shard for r in out}) == 1
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "source", "text", "row", "copy", "order", "n", "u", "of", "parts", "cdf", "id", "__copy", "__n"]
+    docs = spark.createDataFrame([(i, "s", "t", *[i] * 11) for i in range(50)], ", ".join(f"{c} {'string' if c in ('source', 'text') else 'long'}" for c in names))
+    out = mixing.mixed(spark, docs, "")
+    assert out.columns == names
+    assert all(r["__n"] == r.doc_id and r.copy == r.doc_id for r in out.collect()) and out.count() > 20
+    assert mixing.mixed(spark, docs.limit(0), "").count() == 0
