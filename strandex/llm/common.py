@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,13 +14,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only where it is unset, as in tests, one is made."""
+    """The folder that ``spark.checkpoint.dir`` names; only on a local master, as in tests, one is made where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if spark.sparkContext.getCheckpointDir() is None:
+        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return named or spark.sparkContext.getCheckpointDir()
 
 
+def packed(docs: DataFrame, *cols: str) -> DataFrame:
+    """``docs`` as one column ``row``, beside copies of ``cols``: no name that is added can clash with one in ``docs``."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(f"`{c}`").alias(c) for c in cols])
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns that ``docs`` had, of rows from :func:`packed`."""
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the folder that the cluster shares, so a lost executor loses none of it."""
     shared_folder(df.sparkSession)

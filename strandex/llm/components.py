@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from strandex.llm.common import cut
+from strandex.llm.common import cut, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,6 +39,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     was, state = None, _state(now)
     while state[0] and state != was:
         now = cut(_small_star(_large_star(now)))
+        release(now.sparkSession)
         was, state = state, _state(now)
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandex.llm.common import cut, table
+from strandex.llm.common import cut, packed, table, unpacked
 
 MIN_MATCH = 5
 COVERAGE = 0.8
@@ -39,16 +39,22 @@ def rolling(ids: np.ndarray, length: int) -> np.ndarray:
 
 
 class Index:
-    """The windows of the shortest match of a block of benchmark items: of min_match tokens, or a whole shorter item."""
+    """The windows of the shortest match, of min_match tokens, of a block of benchmark items; and the shorter items."""
 
     def __init__(self, items: list[tuple[int, str]], min_match: int = MIN_MATCH):
         self.vocabulary: dict[str, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
+        self.brief: dict[tuple[str, ...], list[int]] = {}  # items of fewer tokens than a match has
         seeds = defaultdict(list)
         for item_id, text in items:
-            ids = np.array([self.vocabulary.setdefault(t, len(self.vocabulary) + 1) for t in tokens(text)], dtype=np.uint64)
+            words = tokens(text)
+            if len(words) < min_match:
+                if words:
+                    self.brief.setdefault(tuple(words), []).append(item_id)
+                continue
+            ids = np.array([self.vocabulary.setdefault(t, len(self.vocabulary) + 1) for t in words], dtype=np.uint64)
             if len(ids):
-                length = min(min_match, len(ids))
+                length = min_match
                 seeds[length] += [(h, len(self.items), p) for p, h in enumerate(rolling(ids, length).tolist())]
                 self.items.append((item_id, ids))
         self.seeds = {}
@@ -114,11 +120,11 @@ def tile(p: np.ndarray, t: np.ndarray, length: int) -> list[tuple[int, int, int]
 
 
 def coverages(text: str | None, index: Index) -> list[tuple[int, float, int]]:
-    """``(item_id, covered share of the item's tokens, tiles)`` for each item that shares a window with the text."""
+    """``(item_id, covered share of the item's tokens, tiles)`` for each item that shares a window with the text, or is all of it."""
     get = index.vocabulary.get
     words = tokens(text)
     ids = np.fromiter((get(w, 0) for w in words), dtype=np.uint64, count=len(words))
-    out = []
+    out = [(k, 1.0, 1) for k in index.brief.get(tuple(words), [])] if words else []
     for length in index.seeds:
         for k, p, t in index.matches(ids, length):
             tiles = tile(p, t, length)
@@ -155,8 +161,10 @@ def contamination(
     """``docs`` with ``out``: an array of ``(item_id, coverage, tiles)``, the items of ``benchmark(item_id, text)``
     of which tiles of at least ``min_match`` tokens cover ``coverage`` or more, in any order; empty if there are none.
 
-    Texts are lower-cased and cut into runs of letters and digits. An item of fewer than ``min_match`` tokens has to
-    occur whole; one without tokens matches nothing, nor does a null or empty text. Nothing is shuffled: items are
+    Texts are lower-cased and cut into runs of letters and digits. An item of fewer than ``min_match`` tokens is too
+    short to tell a leak from common words: it is found only where it is the whole text. One without tokens matches nothing, nor
+    does a null or empty text. Rows that repeat are judged each, an empty table gives no rows, and a column of ``docs`` named
+    like ``out`` is replaced. Nothing is shuffled: items are
     taken in blocks of BLOCK_CHARS, each sent to all tasks, and after every BLOCKS of them the rows are kept in the
     shared folder, so a benchmark of any size is matched with bounded memory.
     """
@@ -171,7 +179,8 @@ def contamination(
 
 def clean_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark item go; the others stay whole."""
-    return contamination(docs, table(spark, sf_dir, "benchmark"), out="__leaks").where(F.size("__leaks") == 0).select(*docs.columns)
+    found = contamination(packed(docs, "text"), table(spark, sf_dir, "benchmark"))
+    return unpacked(found.where(F.size("leaks") == 0), docs)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from strandex.llm.common import table
+from strandex.llm.common import table, unpacked
 
 SEED = 29
 POWER = 0.5
@@ -38,15 +38,15 @@ def uniform(seed: int, *cols: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def replicate(docs: DataFrame, rate: DataFrame, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` with ``__copy`` (from 0) and ``__order``, each as often as its draw says, shuffled globally.
+def copies(docs: DataFrame, rate: DataFrame, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """``(row, copy, order)``: each row of ``docs``, as one struct, as often as its draw says; ``copy`` counts from 0.
 
     The number of copies inverts the Poisson distribution of the source's rate at a uniform number hashed from the
     seed and the id: it is the number of values of the cumulative distribution that don't exceed it. The table of
     these values ends where no 52-bit number is left, so nothing is cut off, whatever the rate. Rows that repeat an
-    id share a draw. The global shuffle (:func:`shuffled`) scatters by a hash of id and copy and sorts by it; it knows nothing
-    but that hash, so a hot source spreads over all partitions. The tables are broadcast if there are at most
-    ``MOST_SOURCES`` of them; beyond that they are joined by a shuffle.
+    id share a draw; null ids hash like a value, a null source is a source of its own. ``order`` hashes id and copy, so a hot
+    source spreads over all partitions. The tables are broadcast if there are at most ``MOST_SOURCES`` of them; beyond that they
+    are joined by a shuffle. An empty table gives no rows. Columns of ``docs`` may have any names.
     """
     last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
     step = lambda acc, k: F.struct(
@@ -58,37 +58,43 @@ def replicate(docs: DataFrame, rate: DataFrame, seed: int = SEED, id_col: str =
     start = F.struct(F.array().cast("array<double>").alias("cdf"), F.exp(-F.col("rate")).alias("term"), F.exp(-F.col("rate")).alias("sum"))
     steps = F.transform(F.sequence(F.lit(1), last), lambda k: k.cast("double"))
     parts = F.greatest(F.ceil(F.col("rate") / 500.0), F.lit(1)).cast("int")
-    tables = rate.where("rate > 0").select(
-        F.col("source").alias("__source"),
-        parts.alias("__parts"),
-        (F.col("rate") / parts).alias("rate"),
-    )
-    tables = tables.select("__source", "__parts", F.aggregate(steps, start, step)["cdf"].alias("__cdf"))
+    tables = rate.where("rate > 0").select(F.col("source").alias("of"), parts.alias("parts"), (F.col("rate") / parts).alias("rate"))
+    tables = tables.select("of", "parts", F.aggregate(steps, start, step)["cdf"].alias("cdf"))
     if tables.count() <= MOST_SOURCES:
         tables = F.broadcast(tables)
-    joined = docs.join(tables, docs[source_col].eqNullSafe(tables["__source"]))
-    part = lambda i: F.size(F.filter("__cdf", lambda c: c <= uniform(seed, docs[id_col], i)))
-    first = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
-    more = F.aggregate(F.sequence(F.lit(2), F.col("__parts")), F.lit(0), lambda acc, i: acc + part(i))
-    drawn = joined.withColumn("__u", uniform(seed, docs[id_col])).withColumn("__n", first + F.when(F.col("__parts") > 1, more).otherwise(0))
-    copies = drawn.where("__n > 0").select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__copy"))
-    return copies.withColumn("__order", F.xxhash64(F.lit(seed), F.lit("order"), docs[id_col], "__copy"))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source")
+    )
+    drawn = rows.join(tables, F.col("source").eqNullSafe(F.col("of"))).withColumn("u", uniform(seed, F.col("id")))
+    part = lambda i: F.size(F.filter("cdf", lambda c: c <= uniform(seed, F.col("id"), i)))
+    first = F.size(F.filter("cdf", lambda c: c <= F.col("u")))
+    more = F.aggregate(F.sequence(F.lit(2), F.col("parts")), F.lit(0), lambda acc, i: acc + part(i))
+    drawn = drawn.withColumn("n", first + F.when(F.col("parts") > 1, more).otherwise(0)).where("n > 0")
+    out = drawn.select("row", "id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    return out.select("row", "copy", F.xxhash64(F.lit(seed), F.lit("order"), "id", "copy").alias("order"))
+
+
+def replicate(docs: DataFrame, rate: DataFrame, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """:func:`copies` with the columns of ``docs``, ``__copy`` and ``__order``; columns of these two names in ``docs`` are dropped."""
+    names = [c for c in docs.columns if c not in ("__copy", "__order")]
+    out = copies(docs, rate, seed, id_col, source_col)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in names], F.col("copy").alias("__copy"), F.col("order").alias("__order"))
 
 
-def shuffled(copies: DataFrame) -> DataFrame:
-    """Scattered over all partitions by ``__order`` and sorted by it: files read in turn are the shuffled corpus."""
-    return copies.repartition("__order").sortWithinPartitions("__order")
+def shuffled(rows: DataFrame, order: str = "order") -> DataFrame:
+    """Scattered over all partitions by the hash in ``order`` and sorted by it: files read in turn are the shuffled corpus."""
+    return rows.repartition(order).sortWithinPartitions(order)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: sources at the square root of their sizes, as many rows as before in the mean."""
-    return shuffled(replicate(docs, rates(docs))).select(*docs.columns)
+    return unpacked(shuffled(copies(docs, rates(docs))), docs)
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    copies = replicate(docs.select("doc_id", "source"), rates(docs))
-    return shuffled(copies).select("doc_id", "source", F.col("__copy").cast("int").alias("copy"))
+    rows = shuffled(copies(docs.select("doc_id", "source"), rates(docs)))
+    return rows.select("row.doc_id", "row.source", F.col("copy").cast("int").alias("copy"))
 
 
 SQL = """
@@ -97,7 +103,7 @@ sums AS (SELECT sum(sqrt(n)) AS w, sum(n) AS rows_all FROM sizes),
 rates AS (SELECT source, sqrt(n) / w * rows_all / n AS rate FROM sizes, sums),
 tables AS (
   SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf
-  FROM rates, range(0, 120) AS r(k)),
+  FROM rates, range(0, (SELECT CAST(ceil(max(rate) + 12 * sqrt(max(rate)) + 30) AS BIGINT) FROM rates)) AS r(k)),
 draws AS (
   SELECT doc_id, source,
          CAST('0x' || substr(md5('29:' || coalesce(CAST(doc_id AS VARCHAR), '~')), 1, 13) AS BIGINT) / 4503599627370496.0 AS u

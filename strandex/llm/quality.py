@@ -12,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from strandex.llm.common import table
+from strandex.llm.common import packed, table, unpacked
 
 #: Bounds of the sample that the model is fitted on: trusted positives, unlabelled texts, labelled rows to calibrate by.
 POSITIVES, UNLABELLED, CALIBRATION = 12_000, 24_000, 8_000
@@ -250,7 +250,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
 def good_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with a score of at least 0.7 stay; the others go."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model, out="__score").where(F.col("__score") >= THRESHOLD).select(*docs.columns)
+    return unpacked(score(packed(docs, "text"), model).where(F.col("score") >= THRESHOLD), docs)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
