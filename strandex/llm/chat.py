@@ -76,20 +76,46 @@ def preferences(turns: DataFrame) -> DataFrame:
     )
 
 
-def op6_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation 2n is the chosen and 2n + 1 the rejected one of pair n; masks as ``start+length`` lists."""
-    turns = table(spark, sf_dir, "conversations").select(
-        F.expr("conv_id div 2").alias("pair_id"), F.when(F.col("conv_id") % 2 == 0, "chosen").otherwise("rejected").alias("side"), "turn", "role", "text"
+def answers_of_others(turns: DataFrame) -> DataFrame:
+    """``(pair_id, side, turn, role, text)`` of ``turns(conv_id, turn, role, text)``: pair n sets conversation 2n, whole,
+    against its turns before the assistant's last one with the last answer of conversation 2n + 1 in its place.
+
+    Without an answer of its own, the rejected side has all turns of 2n before that of the other. Null ids are left out.
+    """
+    numbered = turns.where("conv_id IS NOT NULL")
+    last = numbered.where("role = 'assistant'").groupBy(F.col("conv_id").alias("of")).agg(F.max("turn").alias("last"))
+    all_turns = numbered.join(last, F.col("conv_id") == F.col("of"), "left")
+    first = F.col("conv_id").bitwiseAND(F.lit(1)) == 0
+    before = first & (F.col("last").isNull() | F.col("turn").isNull() | (F.col("turn") < F.col("last")))
+    answer = ~first & (F.col("role") == "assistant") & (F.col("turn") == F.col("last"))
+    ends = F.lit((1 << 63) - 1)
+    sides = F.array(
+        F.struct(first.alias("is"), F.lit("chosen").alias("side"), F.col("turn").cast("long").alias("turn")),
+        F.struct(before.alias("is"), F.lit("rejected").alias("side"), F.col("turn").cast("long").alias("turn")),
+        F.struct(answer.alias("is"), F.lit("rejected").alias("side"), ends.alias("turn")),
     )
+    rows = all_turns.select(F.shiftright("conv_id", 1).alias("pair_id"), F.explode(F.filter(sides, lambda s: s["is"])).alias("s"), "role", "text")
+    return rows.select("pair_id", "s.side", "s.turn", "role", "text")
+
+
+def op6_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of :func:`answers_of_others`; masks as ``start+length`` lists."""
+    turns = answers_of_others(table(spark, sf_dir, "conversations"))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("+", s["start"], s["length"])), ",")
     out = preferences(turns)
     return out.withColumns({c: spans(c) for c in ("chosen_mask", "rejected_mask")})
 
 
 SQL = """
-WITH t AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(replace(role, '<|im_', '<| im_'), 'unknown') AS role, replace(coalesce(text, ''), '<|im_', '<| im_') AS text, turn
-  FROM conversations WHERE conv_id IS NOT NULL),
+WITH lasts AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+c AS (SELECT k.conv_id, k.turn, k.role, k.text, l.last FROM conversations k LEFT JOIN lasts l ON k.conv_id = l.conv_id WHERE k.conv_id IS NOT NULL),
+sided AS (
+  SELECT conv_id >> 1 AS pair_id, 0 AS side, turn, role, text FROM c WHERE conv_id & 1 = 0
+  UNION ALL SELECT conv_id >> 1, 1, turn, role, text FROM c WHERE conv_id & 1 = 0 AND (last IS NULL OR turn IS NULL OR turn < last)
+  UNION ALL SELECT conv_id >> 1, 1, 9223372036854775807, role, text FROM c WHERE conv_id & 1 = 1 AND role = 'assistant' AND turn = last),
+t AS (
+  SELECT pair_id, side, coalesce(replace(role, '<|im_', '<| im_'), 'unknown') AS role, replace(coalesce(text, ''), '<|im_', '<| im_') AS text, turn
+  FROM sided),
 n AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
 sizes AS (SELECT pair_id, count(*) FILTER (WHERE side = 0) AS c, count(*) FILTER (WHERE side = 1) AS r FROM n GROUP BY pair_id),
 first_differs AS (

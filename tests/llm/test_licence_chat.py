@@ -71,3 +71,12 @@ def test_long_conversation(spark):
     rows = [(1, s, i, "user" if i % 2 == 0 else "assistant", "w " * 5000 if i < 30 else s) for s in ("chosen", "rejected") for i in range(40)]
     got = chat.preferences(spark.createDataFrame(rows, "pair_id long, side string, turn int, role string, text string")).first()
     assert got.prefix_turns == 30 and len(got.chosen_mask) == 5
+
+
+def test_pairs_share_their_first_turns(spark):
+    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 2, "user", "q2"), (0, 3, "assistant", "mine"), (1, 0, "user", "z"), (1, 1, "assistant", "other")]
+    rows += [(2, 0, "user", "q"), (5, 0, "assistant", "x"), (-2, 0, "user", "n"), (-2, 1, "assistant", "p"), (-1, 0, "assistant", "r"), (None, 0, "user", "q")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.pair_id: r for r in chat.preferences(chat.answers_of_others(turns)).collect()}
+    assert {k: (r.prefix_turns, r.status) for k, r in got.items()} == {0: (3, "ok"), 1: (1, "same"), 2: (0, "unpaired"), -1: (1, "ok")}
+    assert "mine" in got[0].chosen and "other" in got[0].rejected and "q2" in got[0].prompt
