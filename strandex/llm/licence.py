@@ -17,11 +17,17 @@ from strandex.llm.common import table
 UNKNOWN = "unknown"
 #: Least probability of a family, and least share of word pairs in common with one of its templates.
 CONFIDENCE, SIMILARITY = 0.6, 0.8
+#: Word pairs that confirm; a template that has fewer confirms only a paragraph that has all of them and little else.
+PAIRS = 3
+#: Where a paragraph ends: at a blank line, or where a line ends a sentence. Lines that are broken inside a sentence stay together.
+BREAK = r"\r?\n[ \t\r]*(?:\n[ \t\r]*)+|(?<=[.!?:;])[ \t\r]*\n"
 SLOTS, SEED = 512, 3
 
 # Notices and opening words of well-known licences.
 TEMPLATES = {
     "apache-2.0": [
+        "Apache License",
+        "Apache License Version 2.0, January 2004",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "Licensed under the Apache License, Version 2.0.",
         "This project is licensed under the terms of the Apache 2.0 license.",
@@ -29,12 +35,15 @@ TEMPLATES = {
         "SPDX-License-Identifier: Apache-2.0",
     ],
     "mit": [
+        "MIT License",
+        "The MIT License (MIT)",
         "Released under the MIT License.",
         "This project is licensed under the MIT License - see the LICENSE file for details.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
         "SPDX-License-Identifier: MIT",
     ],
     "gpl-3.0": [
+        "GNU General Public License Version 3, 29 June 2007",
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "Licensed under the GPLv3.",
@@ -42,6 +51,7 @@ TEMPLATES = {
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
     "gpl-2.0": [
+        "GNU General Public License Version 2, June 1991",
         "This work is licensed under the GNU General Public License, version 2.",
         "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
         "Licensed under the GPLv2.",
@@ -59,6 +69,8 @@ TEMPLATES = {
         "SPDX-License-Identifier: AGPL-3.0-only",
     ],
     "bsd": [
+        "BSD 2-Clause License",
+        "BSD 3-Clause License",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Released under the BSD License.",
@@ -66,6 +78,7 @@ TEMPLATES = {
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "mpl-2.0": [
+        "Mozilla Public License Version 2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
@@ -101,6 +114,7 @@ _OTHERS = [
     "the license plate of the car was {w}", "a driver's license is {w} {w}", "we need permission to {w}", "this {w} is licensed under the {w} {w} license version {n}", "copyright law in {w} {w}",
     "released under the {w} license", "{w} in the public domain of {w}", "the creative {w} of the commons {w}", "distributed under the eclipse {w} license {n}", "tickets are reserved for {w}",
     "warranty of {w} {w} for {n} years", "{w} {w} apache helicopter {w}", "{w} studies at mit with {w}", "all seats reserved {w}", "house of commons {w} {w}", "{w} license {w}", "the {w} gnu {w} antelope",
+    "{w} {w} mit {w} {w}", "{w} mit der {w} und mit dem {w}", "mit {w} {w}", "{w} mit {w}, mit {w} und mit {w}", "sie kam mit {w} cc {w}", "{w} com permission de {w} {w}",
 ]
 _TOKEN = re.compile(r"[a-z0-9]+")
 _ANCHORS = frozenset(ANCHORS)
@@ -219,14 +233,16 @@ def _with_anchor(words: Column) -> Column:
 
 
 def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, paragraph, family, probability, similarity, confirmed)``: a row for each paragraph with an anchor word.
-
-    A paragraph is a line, numbered from 0; null and empty texts have none with an anchor. Words are runs of a-z and 0-9 of the
-    lower-cased line, features their distinct runs of one to three words. The family is the likeliest class if its
-    probability is at least CONFIDENCE, else ``unknown``; lines without any anchor word have no feature, so the
-    model can't call them anything but unknown and they give no row. A family is confirmed if the line and one of its
-    templates share at least SIMILARITY of the word pairs of either (a line of one word confirms nothing). Rows of
-    ``docs`` that repeat give their rows again. All of it is one projection over the scan: no shuffle, no Python.
+    """``(doc_id, paragraph, family, probability, similarity, confirmed)``: a row for each paragraph of a known family.
+
+    A paragraph, numbered from 0, ends at a blank line or where a line ends a sentence (BREAK). Words are runs of a-z and 0-9
+    of the lower-cased text, features their distinct runs of one to three words that have an anchor: the vocabulary that the model is
+    trained on has no others. The family is the likeliest class if its probability is at least CONFIDENCE, else the
+    paragraph is unknown and gives no row; one without any anchor has no feature, which the model calls unknown, so it isn't scored at all.
+    A family is confirmed if one of its templates and the paragraph share at least SIMILARITY of the word pairs of the smaller, and
+    PAIRS of them; with a template of fewer pairs, such as a title, of both. Rows of ``docs`` that repeat give their rows
+    again; null and empty texts and empty tables give none; other columns aren't read. All of it is one projection
+    over the scan: no shuffle, no Python.
     """
     model = model or default_model()
     slots: list[list[dict]] = [[] for _ in range(SLOTS)]
@@ -241,7 +257,7 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
     names = F.array(*[F.lit(c) for c in model.classes])
     anchor = r"(?<![a-z0-9])(?:" + "|".join(dict.fromkeys(ANCHORS)) + r")(?![a-z0-9])"
     lines = F.filter(
-        F.transform(F.split(F.col(text_col), "\n"), lambda line, i: F.struct(i.alias("paragraph"), F.lower(line).alias("line"))),
+        F.transform(F.split(F.col(text_col), BREAK), lambda line, i: F.struct(i.alias("paragraph"), F.lower(line).alias("line"))),
         lambda x: x["line"].rlike(anchor),
     )
     rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(lines).alias("x"))
@@ -258,11 +274,15 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
 
     def alike(t: Column) -> Column:
         both = F.size(F.array_intersect("pairs", t["pairs"]))
-        return both / F.greatest(F.least(F.size("pairs"), F.size(t["pairs"])), F.lit(1))
+        few, many = F.least(F.size("pairs"), F.size(t["pairs"])), F.greatest(F.size("pairs"), F.size(t["pairs"]))
+        return both / F.greatest(F.when(both >= PAIRS, few).otherwise(many), F.lit(1))
 
     own = F.transform(F.filter(shapes, lambda t: t["family"] == F.col("family")), alike)
     similarity = F.coalesce(F.array_max(own), F.lit(0.0))
-    return rows.select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), similarity.alias("similarity"), (similarity >= SIMILARITY).alias("confirmed"))
+    found = F.struct("family", F.round("probability", 6).alias("probability"), similarity.alias("similarity"))
+    # a plain filter would be pushed down and have the model evaluated again for itself
+    rows = rows.select("doc_id", "paragraph", F.explode(F.filter(F.array(found), lambda r: r["family"] != UNKNOWN)).alias("r"))
+    return rows.select("doc_id", "paragraph", "r.*", (F.col("r.similarity") >= SIMILARITY).alias("confirmed"))
 
 
 def op2_licence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Licence scans against the same model in plain Python; preference pairs against plain formatting."""
 
 import random
+import re
 
 import numpy as np
 
@@ -18,7 +19,7 @@ def test_scan_against_plain_model(spark):
     got = sorted(map(tuple, licence.scan(spark.createDataFrame(rows, DOCS)).collect()))
     want = []
     for i, text in [r[:2] for r in rows]:
-        for k, line in enumerate((text or "").split("\n")):
+        for k, line in enumerate(re.split(licence.BREAK, text or "")):
             words = licence._TOKEN.findall(line.lower())
             if licence._ANCHORS.isdisjoint(words):
                 continue
@@ -27,8 +28,10 @@ def test_scan_against_plain_model(spark):
             pairs, best = set(licence._grams(words, 2, 2)), 0.0
             for t in licence.TEMPLATES.get(family, ()):
                 own = set(licence._grams(licence._TOKEN.findall(t.lower()), 2, 2))
-                best = max(best, len(pairs & own) / max(1, min(len(pairs), len(own))))
-            want.append((i, k, family, p.max(), best, best >= licence.SIMILARITY))
+                few, many = sorted((len(pairs), len(own)))
+                best = max(best, len(pairs & own) / max(1, few if len(pairs & own) >= licence.PAIRS else many))
+            if family != licence.UNKNOWN:
+                want.append((i, k, family, p.max(), best, best >= licence.SIMILARITY))
     assert [(*r[:3], r[5]) for r in got] == [(*r[:3], r[5]) for r in sorted(want)]
     assert np.allclose([r[3:5] for r in got], [r[3:5] for r in sorted(want)], atol=2e-6)
     assert licence.scan(spark.createDataFrame([], DOCS)).count() == 0
@@ -42,6 +45,41 @@ def test_templates_are_recognised():
         assert model.classes[model.probabilities(text).argmax()] == licence.UNKNOWN
 
 
+MIT = """MIT License
+
+Copyright (c) 2021 J. Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0"""
+
+
+def test_wrapped_texts_and_titles(spark):
+    titles = {"MIT License": "mit", "Apache License": "apache-2.0", "BSD 2-Clause License": "bsd", "Mozilla Public License Version 2.0": "mpl-2.0"}
+    texts = [MIT, APACHE, *titles, "Some words of prose.\n" + APACHE]
+    got = licence.scan(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], DOCS)).where("confirmed").collect()
+    found = {(r.doc_id, r.paragraph, r.family) for r in got}
+    assert {(0, 0, "mit"), (0, 2, "mit"), (1, 0, "apache-2.0"), (len(texts) - 1, 1, "apache-2.0")} <= found
+    assert {(i + 2, 0, f) for i, f in enumerate(titles.values())} <= found
+
+
+def test_prose_is_not_a_licence(spark):
+    prose = [
+        "Er ging mit seinem Hund in den Park und kam mit einem Ball zurück.", "Mit der Zeit wurde es mit allem besser.", "She has a licence to drive and a permission slip.",
+        "Il a obtenu la permission de son commons.", "El señor con licencia de conducir.", "The MIT", "under the GPLv3", "He studied at MIT and wrote about the GNU antelope.",
+    ]
+    got = licence.scan(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(prose)], DOCS)).collect()
+    assert not [r for r in got if r.confirmed] and len(got) <= 2  # the two short names are known but not confirmed
+
+
 def test_preferences(spark):
     u, a = "user", "assistant"
     talks = {
