@@ -200,9 +200,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _matrix(docs: DataFrame) -> np.ndarray:
-    """The features of a bounded sample, on the driver."""
+    """The features of a bounded sample, on the driver, in an order of their own: the fit doesn't hang on partitions."""
     rows = docs.select("text").mapInArrow(_extract, "x array<double>").toPandas()
-    return np.array(rows["x"].tolist(), dtype=np.float64).reshape(-1, N_FEATURES)
+    x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(-1, N_FEATURES)
+    return x[np.lexsort(x.T)]
 
 
 def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +230,9 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> Model:
     judged = texts.join(F.broadcast(_some(known, CALIBRATION, "c").dropDuplicates(["doc_id"])), "doc_id")
     rows = judged.select("text", "quality").mapInArrow(_extract_judged, "x array<double>, y int").toPandas()
     known_x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(-1, N_FEATURES)
-    return fit(positive, unlabelled, known_x, rows["y"].to_numpy(dtype=np.float64), seed)
+    truth = rows["y"].to_numpy(dtype=np.float64)
+    order = np.lexsort((truth, *known_x.T))
+    return fit(positive, unlabelled, known_x[order], truth[order], seed)
 
 
 def _extract_judged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
