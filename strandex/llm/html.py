@@ -43,13 +43,14 @@ _WORD = re.compile(r"[a-z]+|(?<=[a-z])[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "runs", "depth")
+    __slots__ = ("tag", "attrs", "parent", "children", "runs", "depth", "block")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node] = []
         self.runs: list[tuple[str, bool]] = []  # text, and whether it is in a link
         self.depth = 0 if parent is None else parent.depth + 1
+        self.block = 0  # leaves of one number are one run of inline content, cut only at inline elements that are nodes
         if parent is not None:
             parent.children.append(self)
 
@@ -59,26 +60,39 @@ def _tidy(parts: Iterable[str]) -> str:
 
 
 def parse(html: str) -> Node:
-    """The tree of block elements; text is in leaves ``#text``, a leaf for each run of inline content."""
+    """The tree of block elements and of inline ones that an attribute calls an advert or hidden.
+
+    Text is in leaves ``#text``, a leaf for each run of inline content between such elements.
+    """
     root = Node("#root", "", None)
     stack: list[tuple[str, Node]] = [("#root", root)]  # open elements, with the block that each is or is in
     leaf: Node | None = None
+    block, begun = 0, -1  # the run of inline content that text is in, and the last that has a leaf
     links, at, n = 0, 0, len(html)
 
     def text(part: str) -> None:
-        nonlocal leaf
+        nonlocal leaf, begun
         if part:
             if leaf is None:
-                if part.isspace():
+                if part.isspace() and begun != block:
                     return
                 leaf = Node("#text", "", stack[-1][1])
+                leaf.block = begun = block
             leaf.runs.append((unescape(part) if "&" in part else part, links > 0))
 
+    def end_run() -> None:
+        nonlocal leaf, block
+        leaf = None
+        block += 1
+
     def close(to: int) -> None:
         nonlocal leaf, links
-        for tag, _ in stack[to:]:
+        for i in range(to, len(stack)):
+            tag, node = stack[i]
             links -= tag == "a"
             if tag not in _INLINE:
+                end_run()
+            elif node is not stack[i - 1][1]:
                 leaf = None
         del stack[to:]
 
@@ -119,7 +133,7 @@ def parse(html: str) -> Node:
             if tag == "br":
                 text(" ")
             elif tag == "hr":
-                leaf = None
+                end_run()
             continue
         if attrs.endswith("/") and (tag in _FOREIGN or any(t in _FOREIGN for t, _ in stack)):
             continue
@@ -127,20 +141,23 @@ def parse(html: str) -> Node:
             if not attrs.endswith("/"):
                 end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, at)
                 if tag == "xmp":  # its text is shown, as it stands
-                    leaf = None
+                    end_run()
                     text(html[at : end.start() if end else n].replace("&", "&amp;"))
                 at = end.end() if end else n
-            leaf = leaf if tag == "script" else None
+            if tag != "script":
+                end_run()
             continue
         if tag in _INLINE:
             links += tag == "a"
-            stack.append((tag, stack[-1][1]))
+            telling = bool(_NAMED.search(attrs)) and _telling(attrs)
+            leaf = None if telling else leaf
+            stack.append((tag, Node(tag, attrs, stack[-1][1]) if telling else stack[-1][1]))
             continue
         if tag in _CLOSES_P:
             close_to(frozenset(["p"]), frozenset(["td", "th", "table", "button", "#root"]))
         if tag in _SIBLINGS:
             close_to(*_SIBLINGS[tag])
-        leaf = None
+        end_run()
         stack.append((tag, Node(tag, attrs, stack[-1][1])))
     return root
 
@@ -180,7 +197,7 @@ def _hints(attrs: str) -> tuple[float, ...]:
         return _SEEN[attrs]
     out = [0.0] * (N_HINTS + 1)
     for name, value in _ATTRIBUTE.findall(attrs):
-        if name.lower() == "hidden":
+        if name.lower() == "hidden" and value.strip("\"'").lower() != "false":
             out[N_HINTS] = 1.0
         for w in _WORD.findall(value):
             for i in _HINT.get(w.lower(), ()):
@@ -192,6 +209,16 @@ def _hints(attrs: str) -> tuple[float, ...]:
     return tuple(out)
 
 
+_AD = list(_HINTS).index("ad")
+_NAMED = re.compile(r"class|id|role|hidden|display", re.I)
+
+
+def _telling(attrs: str) -> bool:
+    """Whether an inline element is a node: its attributes say advert, or that it isn't shown."""
+    hints = _hints(attrs)
+    return bool(hints[_AD] or hints[N_HINTS])
+
+
 def flatten(root: Node) -> list[Node]:
     """All nodes, parents first, in page order."""
     out, todo = [], [root]
@@ -286,11 +313,24 @@ def main_texts(pages: list[str | None], model: boosting.Trees) -> list[str]:
     for nodes in trees:
         kept = decode(nodes, logit[at : at + len(nodes)])
         at += len(nodes)
-        blocks = (_tidy(r for r, _ in x.runs) for x, k in zip(nodes, kept) if k and x.tag == "#text")
-        out.append(" ".join(b for b in blocks if b))
+        out.append(_joined(nodes, kept))
     return out
 
 
+def _joined(nodes: list[Node], kept: list[bool]) -> str:
+    """The text of the kept leaves: those of one run as one block, blocks joined by one space."""
+    gone = {id(x) for x, k in zip(nodes, kept) if not k}
+    blocks: dict[int, list[str]] = {}
+    for x in nodes:
+        if x.tag != "#text":
+            continue
+        parts = [r for r, _ in x.runs]
+        # white space between two inline nodes goes with what holds it, whatever its own leaf is judged to be
+        if id(x) not in gone or (id(x.parent) not in gone and not "".join(parts).strip()):
+            blocks.setdefault(x.block, []).extend(parts)
+    return " ".join(filter(None, map(_tidy, blocks.values())))
+
+
 # -- invented pages to learn from -----------------------------------------------------------------------------------
 
 
@@ -312,6 +352,10 @@ def invent(rnd: random.Random) -> str:
         if len(words) > 4 and rnd.random() < 0.3:
             i = rnd.randrange(len(words))
             words[i] = rnd.choice(["<a href='/x'>{}</a>", "<b>{}</b>", "<em>{}</em>", "<code>{}</code>", "{}<br>"]).format(words[i])
+        if len(words) > 2 and rnd.random() < 0.08:  # an advert or something unseen within a paragraph
+            tag, word = rnd.choice(["span", "span", "a", "em", "small"]), rnd.choice(_HINTS["ad"].split())
+            attrs = rnd.choice([f'class="{word}"', f'class="x {word}-{rnd.choice("abc")}"', f'id="{word}{rnd.randint(1, 9)}"', "hidden", 'style="display:none"'])
+            words.insert(rnd.randint(1, len(words)), f"<{tag} {attrs}>{sentence(1, rnd.choice([4, 12]))}</{tag}>{mark}")
         return " ".join(words)
 
     def wrap(kind: str, tags: str, body: str) -> str:
@@ -320,6 +364,8 @@ def invent(rnd: random.Random) -> str:
         mark = rnd.choice(["", f' class="{word}"', f' class="x {word}-{rnd.choice("abc")}"', f' id="{word}"']) if tag not in ("div", "section", "p") else rnd.choice(
             [f' class="{word}"', f' class="{word} box"', f' id="{word}{rnd.randint(1, 9)}"', f' class="site-{word}"']
         )
+        if kind != "main" and rnd.random() < 0.05:
+            mark = rnd.choice([" hidden", ' style="display:none"', ' aria-hidden="true"'])
         return f"<{tag}{mark}>{body}</{tag}>"
 
     def links(n: int) -> str:
@@ -422,8 +468,10 @@ def extract(pages: DataFrame, model: boosting.Trees | None = None, id_col: str =
 
     The text is that of the article without menus, headers, footers, sidebars, notices, adverts, forms, scripts,
     styles, markup and comments. Character references are decoded, white space in a block is one space, blocks are
-    joined by one. Null and empty pages, and pages without main text, give the empty text; broken markup is read as
-    far as it goes.
+    joined by one. Inline elements that attributes call an advert or hidden are judged as blocks are, and what is left of their
+    block stays one. Null and empty pages, and pages without main text, give the empty text; broken markup is read as
+    far as it goes, and a page of any length is read whole. Each row is judged by its page alone, so rows that repeat
+    get the same text; an empty table gives no rows. A column of ``pages`` that is named as ``out`` gives way to it.
     """
     model = model or default_model()
 
