@@ -5,6 +5,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 import corpus_pipeline
 from strandex.llm import decontaminate, mixing, near, simhash
@@ -103,3 +105,27 @@ def test_one_row_of_each_class_with_null_and_repeated_ids(spark):
     out = simhash.one_of_each(spark, spark.createDataFrame(rows, DOCS), "").collect()
     assert len(out) == 4 and all(tuple(r) in rows for r in out)
     assert Counter((r.doc_id, (r.text or "").lower()) for r in out) == Counter([(1, a), (0, b), (None, c), (7, "")])
+
+
+@pytest.mark.parametrize("n, size, kept, spread", [(40, 30, 0.85, 0.15), (150, 120, 0.86, 0.1), (150, 200, 0.85, 0.0), (60, 3000, 0.88, 0.06), (60, 1, 0.5, 0.0)])
+def test_a_large_bucket_is_linked_as_all_its_pairs_are(n, size, kept, spread):
+    rng = np.random.default_rng(n + size)
+    base, rows = rng.integers(0, 2**64, size, dtype=np.uint64), []
+    for i in range(n):
+        k = int(size * (kept + spread * rng.random()))
+        rows.append((i.to_bytes(4, "big"), np.unique(np.concatenate([rng.permutation(base)[:k], rng.integers(0, 2**64, size - k, dtype=np.uint64)]))))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1] * n), pa.array([d for d, _ in rows], pa.binary()), pa.array([s.view(np.int64) for _, s in rows], pa.list_(pa.int64()))], names=["key", "handle", "shingles"]
+    )
+    root = {d: d for d, _ in rows}
+
+    def joined(pairs):
+        found = dict(root)
+        for a, b in pairs:
+            a, b = found[a], found[b]
+            found = {d: min(a, b) if r in (a, b) else r for d, r in found.items()}
+        return found
+
+    got = [e for out in near._verified(0.8)([batch]) for e in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+    want = [(a, b) for i, (a, x) in enumerate(rows) for b, y in rows[:i] if near.jaccard(x, y) >= 0.8]
+    assert joined(got) == joined(want)
