@@ -623,3 +623,18 @@ def sample_discovery(spark, sf):
 def unit_conversion(spark, sf):
     rows = tables.table(spark, sf, "customer").select(F.col("c_name").alias("tool"), (F.col("c_custkey") * 1000).alias("reads"), (F.col("c_nationkey") + 1).alias("classify_s"), F.col("c_custkey").alias("peak_kb"))
     return reports.per_minute(rows)
+
+
+@query("WITH rows AS (SELECT 100 + n_nationkey AS taxid, 7 * n_nationkey AS reads FROM nation UNION ALL SELECT 10 + n_regionkey, 7 * n_nationkey FROM nation UNION ALL SELECT 1000 + s_suppkey, s_nationkey FROM supplier WHERE s_nationkey > 0) SELECT CAST(taxid AS BIGINT) AS taxid, CAST(sum(reads) AS BIGINT) AS reads FROM rows GROUP BY 1")
+def exact_reads(spark, sf):
+    """Lines of both kinds of report: of nations with their regions as three columns, of suppliers as six."""
+    three = tables.table(spark, sf, "nation").selectExpr("concat(100 + n_nationkey, ',', 10 + n_regionkey, '\\t', 7 * n_nationkey, '\\t', n_name) AS value")
+    six = tables.table(spark, sf, "supplier").selectExpr("concat_ws('\\t', '0.5', '900', s_nationkey, 'S', 1000 + s_suppkey, '  name') AS value")
+    return archives.exact_reads(three.unionByName(six))
+
+
+@query("SELECT sample, count(*) AS total_reads FROM (SELECT source AS sample, unnest(string_split(text, chr(10))) AS value FROM documents) WHERE regexp_matches(value, '\\S') GROUP BY sample")
+def total_reads(spark, sf):
+    """The lines of documents as those of a per-read file for each source."""
+    docs = tables.table(spark, sf, "documents")
+    return archives.total_reads(docs.select(F.col("source").alias("sample"), F.explode(F.split("text", "\n")).alias("value")))

@@ -151,6 +151,27 @@ def target_report(lines: DataFrame) -> DataFrame:
     return rows.where("taxid IS NOT NULL AND reads IS NOT NULL")
 
 
+def exact_reads(lines: DataFrame) -> DataFrame:
+    """``(taxid, reads)`` summed over ``lines(value)`` of reports: the reads that a taxon has itself, not those below it.
+
+    Of six columns or more the third counts, if it is above 0 and the first is a number; of three the second, for each of
+    the ids that the first lists with commas. Headings, other lines and ids that aren't numbers are left out.
+    """
+    p = F.split("value", "\t")
+    field = lambda i: F.trim(F.get(p, F.lit(i)))
+    listed, clade = F.size(p) == 3, (F.size(p) >= 6) & field(0).rlike(r"^[0-9.]*[0-9][0-9.]*$")
+    ids = F.when(listed, F.split(field(0), ",")).when(clade, F.array(field(4)))
+    reads = F.when(listed, field(1)).otherwise(field(2)).try_cast("long")
+    rows = lines.select(F.explode(ids).alias("id"), reads.alias("reads"), listed.alias("listed")).where("reads IS NOT NULL AND (listed OR reads > 0)")
+    rows = rows.select(F.trim("id").try_cast("long").alias("taxid"), "reads").where("taxid IS NOT NULL")
+    return rows.groupBy("taxid").agg(F.sum("reads").alias("reads"))
+
+
+def total_reads(lines: DataFrame) -> DataFrame:
+    """``(sample, total_reads)`` of ``lines(sample, value)`` of per-read files: their lines that aren't blank."""
+    return lines.where(F.col("value").rlike(r"\S")).groupBy("sample").agg(F.count("*").alias("total_reads"))
+
+
 def per_read_output(lines: DataFrame) -> DataFrame:
     """``(status, read_id, taxid, length, pattern)`` of per-read lines; the id is the first word of the header."""
     p = F.split("value", "\t")

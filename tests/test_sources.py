@@ -142,3 +142,15 @@ def test_sample_names(spark):
     clean = archives.clean_name(F.col("p"), ("kraken2?",))
     got = rows.select(clean.alias("n"), archives.concentration(F.col("p")).alias("c"), archives.is_control(clean).alias("nc"), archives.expected_taxon(clean, {"flu": 1, "flu_a": 2}).alias("t")).collect()
     assert [tuple(r) for r in got] == [("Flu_A_D3", "D3", False, 2), ("x_NC_1", "N/A", True, None), ("NCx", "N/A", False, None)]
+
+
+def test_exact_reads_of_both_kinds_of_report(spark):
+    lines = ["Target_TaxID\tReads\tx", "5,6\t3\tx", " 6 \t4\tx", "7\tno\tx", "a,8\t2\tx", "", "1.5\t90\t2\tS\t5\t  name", "1\t90\t0\tS\t9\tn", "%\t90\t2\tS\t9\tn"]
+    got = archives.exact_reads(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert {(r.taxid, r.reads) for r in got.collect()} == {(5, 5), (6, 7), (8, 2)}
+
+
+def test_total_reads_count_lines_that_are_not_blank(spark):
+    rows = [("a", "C\tr1"), ("a", ""), ("a", " \t"), ("a", "U\tr2"), ("b", None), ("b", "C")]
+    got = archives.total_reads(spark.createDataFrame(rows, "sample string, value string"))
+    assert {(r.sample, r.total_reads) for r in got.collect()} == {("a", 2), ("b", 1)}
