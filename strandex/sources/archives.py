@@ -16,7 +16,7 @@ def nodes(spark: SparkSession, path: str) -> DataFrame:
 
 def node_rows(lines: DataFrame) -> DataFrame:
     parts = F.split("value", r"\t\|\t?")
-    return lines.select(F.get(parts, F.lit(0)).try_cast("long").alias("taxid"), F.get(parts, F.lit(1)).try_cast("long").alias("parent")).where("taxid IS NOT NULL AND parent IS NOT NULL")
+    return lines.select(F.get(parts, F.lit(0)).try_cast("long").alias("taxid"), F.get(parts, F.lit(1)).try_cast("long").alias("parent")).where("taxid IS NOT NULL AND parent IS NOT NULL").dropDuplicates(["taxid"])
 
 
 def names(spark: SparkSession, path: str, targets: DataFrame) -> DataFrame:
