@@ -54,9 +54,15 @@ def accession_rows(lines: DataFrame) -> DataFrame:
 
 
 def wanted_accessions(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(accession, taxid)`` of ``rows(source, no, accession, taxid)`` that are wanted: the first row of the first source holds."""
+    """``(accession, taxid)`` of ``rows(source, no, accession, taxid, ...)`` that are wanted: the first row of the first source holds.
+
+    Rows without a source, number or taxid don't count (an accession that has no others keeps a null taxid); rows of the same
+    source and number are ordered by what other columns there are.
+    """
     kept = rows.join(wanted.select("accession").distinct(), "accession", "left_semi")
-    return kept.groupBy("accession").agg(F.min_by("taxid", F.struct("source", "no")).alias("taxid"))
+    place = F.struct("source", "no", *[c for c in rows.columns if c not in ("source", "no", "accession", "taxid")])
+    counts = F.col("source").isNotNull() & F.col("no").isNotNull() & F.col("taxid").isNotNull()
+    return kept.groupBy("accession").agg(F.min_by("taxid", F.when(counts, place)).alias("taxid"))
 
 
 def accession2taxid(spark: SparkSession, paths: list[str], wanted: DataFrame) -> DataFrame:
