@@ -264,16 +264,29 @@ def near_duplicates(
     return own.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def _united(pairs: DataFrame) -> DataFrame:
+    """``(root, _joined)``: the class of each root of ``pairs(root, _fp)`` that a fingerprint class shares with another root."""
+    ends = pairs.groupBy("_fp").agg(F.min("root").alias("b"), F.max("root").alias("_most")).where("b <> _most").drop("_most")
+    edges = pairs.join(ends, "_fp").where("root <> b").select(F.col("root").alias("a"), "b")
+    return connected_components(edges).select(F.col("node").alias("root"), F.col("root").alias("_joined"))
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near duplicates one row stays, with all its columns.
 
-    Near are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more (:mod:`strandex.llm.near`).
+    Near are texts whose fingerprints link, as in :func:`near_duplicates`, and beside them texts whose sets of five-word
+    shingles have a Jaccard similarity of 0.8 or more (:mod:`strandex.llm.near`), as edits in a short text move more bits;
+    chains of both kinds are one group.
     It is the row of the least doc_id, null last, and of rows that share it that of the least hash of all columns. Rows
     that are equal in every column are alike, so any one of them stays.
     """
     content = F.xxhash64(*[F.col(f"`{n}`") for n in docs.columns])
     marked = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_row": content})
-    classes = near.near_classes(marked, keys=("_id", "_row")).groupBy("root", "_id", "_row").agg(F.count("*").alias("_n"))
+    prints = cut(fingerprints(marked, "_row").select(F.col("doc_id").alias("_row"), "fp").distinct())
+    linked = connected_components(links(prints.select("fp").distinct())).select(F.col("node").alias("fp"), F.col("root").alias("_linked"))
+    prints = prints.join(linked, "fp", "left").select("_row", F.coalesce("_linked", "fp").alias("_fp"))
+    classes = cut(near.near_classes(marked, keys=("_id", "_row")).groupBy("root", "_id", "_row").agg(F.count("*").alias("_n")))
+    classes = classes.join(_united(classes.join(prints, "_row").select("root", "_fp").distinct()), "root", "left").withColumn("root", F.coalesce("_joined", "root"))
     first = classes.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "_n")).alias("k"))
     keep = cut(first.select(F.col("k._id").alias("_keep"), F.col("k._row").alias("_kept"), F.col("k._n").alias("_n")))
     same = marked["_id"].eqNullSafe(keep["_keep"]) & (marked["_row"] == keep["_kept"])
