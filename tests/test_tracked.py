@@ -1,0 +1,63 @@
+"""Accession sets by packed shuffles against those by rows."""
+
+import numpy as np
+import pytest
+
+from strandex.operators import index, minimizers, packed, reports, taxonomy, tracked
+from tests.test_engine import KK, LL, built, tree, world  # noqa: F401
+
+
+def rows(frame):
+    return sorted(map(tuple, frame.collect()), key=repr)
+
+
+@pytest.fixture
+def small(monkeypatch):
+    """Several packed rows a bucket, several parts, several hundred reads' bases a batch."""
+    monkeypatch.setattr(tracked, "HELD", 60)
+    monkeypatch.setattr(tracked, "PART", 2)
+    monkeypatch.setattr(tracked, "PARTS", 2)
+    monkeypatch.setattr(packed, "BATCH", 200)
+
+
+def _tables(spark, tree, built):  # noqa: F811
+    """Records, one of them twice and one without an accession; what the index has of them by rows."""
+    records, taxa, _ = world()
+    frame = spark.createDataFrame([(a, taxa.get(a), s) for a, s in [*records, records[0]]] + [(None, None, "ACGT" * 20)], "accession string, taxid long, seq string")
+    rolled = taxonomy.rollup(tree[1], built[2])
+    own = index.target_accessions(frame.select("accession", "taxid"), rolled)
+    ids = index.accession_ids(own, tree[1]).cache()
+    return frame, own, ids, rolled, index.accession_sets(frame.select("accession", "seq"), built[3], ids, KK, LL).cache()
+
+
+def test_strain(spark, tree, built, small):  # noqa: F811
+    frame, own, ids, rolled, sets = _tables(spark, tree, built)
+    reads = built[4].unionByName(spark.createDataFrame([(900, 1, "h", None), (901, 2, "h", "ACG")], built[4].schema))
+    assert tracked.single(own)
+    want = rows(reports.strain(minimizers.read_runs(reads, KK, LL), sets, ids))
+    assert rows(tracked.strain(reads, frame, own, ids, tree[1], rolled, KK, LL)) == want and len(want) > 2
+    assert any(r[2] > r[3] for r in want) and any(r[3] for r in want)
+
+
+def test_strain_shuffles_packed_rows(spark):
+    """The query had an exchange of a row for each minimizer and accession."""
+    from strandex.plans import registry
+
+    plan = registry.queries()["strain"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "packed" in plan and "minimizer" not in plan
+
+
+def test_accessions_with_two_taxids_go_by_rows(spark):
+    own = spark.createDataFrame([("a", 5, 5), ("a", 6, 5), ("b", 6, 5)], "accession string, taxid long, target long")
+    assert not tracked.single(own) and tracked.single(own.where("taxid = 6"))
+
+
+def test_pairs_in_both_ways(monkeypatch):
+    owners = tracked._Owners(packed._Labels([(5, [1, 5])]), [3])
+    rng = np.random.default_rng(3)
+    mixed, local, known = rng.integers(0, 50, 400).astype(np.uint64), rng.integers(0, 3, 400), np.array([0, 1, 2])
+    short = owners.pairs(mixed, known, local)
+    owners.labels.bits = 63
+    for a, b in zip(short, owners.pairs(mixed, known, local)):
+        assert (a == b).all()
+    assert list(zip(*(x.tolist() for x in short))) == sorted(set(zip(mixed.tolist(), local.tolist())))
