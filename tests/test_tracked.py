@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from strandex.operators import index, minimizers, packed, reports, taxonomy, tracked
+from strandex.operators import classify, index, minimizers, packed, reports, taxonomy, tracked
 from tests.test_engine import KK, LL, built, tree, world  # noqa: F401
 
 
@@ -39,6 +39,15 @@ def test_strain(spark, tree, built, small):  # noqa: F811
     assert any(r[2] > r[3] for r in want) and any(r[3] for r in want)
 
 
+def test_patterns(spark, tree, built, small):  # noqa: F811
+    frame, own, ids, rolled, sets = _tables(spark, tree, built)
+    reads = built[4].unionByName(spark.createDataFrame([(900, 1, "h", None), (901, 2, "h", "ACG"), (902, 1, "h", "N" * 40)], built[4].schema))
+    found = classify.lookup(minimizers.read_runs(reads, KK, LL), built[3]).cache()
+    want = rows(classify.patterns(found, sets, ids))
+    assert rows(tracked.patterns(reads, frame, own, ids, tree[1], rolled, KK, LL)) == want
+    assert any("," in p for _, p in want) and any("}:" in p and "0:" in p for _, p in want)
+
+
 def test_strain_shuffles_packed_rows(spark):
     """The query had an exchange of a row for each minimizer and accession."""
     from strandex.plans import registry
@@ -47,6 +56,14 @@ def test_strain_shuffles_packed_rows(spark):
     assert "packed" in plan and "minimizer" not in plan
 
 
+def test_patterns_are_by_packed_rows(spark, monkeypatch):
+    """The query looked reads up by a row a run."""
+    from strandex.plans import registry
+
+    monkeypatch.setattr(registry.classify, "lookup", None)
+    assert registry.queries()["accession_pattern"](spark, "/root/testdata/sf0.001").columns == ["read_id", "pattern"]
+
+
 def test_accessions_with_two_taxids_go_by_rows(spark):
     own = spark.createDataFrame([("a", 5, 5), ("a", 6, 5), ("b", 6, 5)], "accession string, taxid long, target long")
     assert not tracked.single(own) and tracked.single(own.where("taxid = 6"))
