@@ -18,7 +18,7 @@ SHINGLE, ROWS, VALUES, BANDS, JACCARD = 8, 4, 8, 18, 0.8
 SEED = 23
 #: Shingles that a row of the signing aggregation takes.
 STEP = 16
-#: Lines with a neighbour in a band whose 64-bit handles may be broadcast (some 24 bytes each).
+#: Lines with a neighbour in a band whose handles may be broadcast (some 24 bytes each).
 MOST_HANDLES = 1_000_000
 #: Members up to which the pairs of a bucket are compared as they are; larger buckets are dealt by rare shingles first.
 SMALL = 32
@@ -46,6 +46,11 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _handle(line: Column) -> Column:
+    """48 bits of a line's hash: the two highest bytes are zero, as the bytes after them in a shuffled row are, so they compress to nothing."""
+    return F.shiftrightunsigned(F.xxhash64(line), 16)
+
+
 def _units(line: Column) -> Column:
     return F.encode(line, "UTF-16BE")
 
@@ -99,9 +104,13 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 
 def band_keys(bands: int = BANDS) -> list[Column]:
-    """Of columns m0, m1, ...: a key for each band. Band (t, a) takes value a + r t of row r: no two share more than one."""
+    """Of columns m0, m1, ...: a key for each band. Band (t, a) takes value a + r t of row r: no two share more than one.
+
+    A key has 48 bits; the two lowest bytes are zero, as the bytes before them in a shuffled row are. Lines that share a key by chance are told
+    apart as those that share a band for little likeness are, by their sets of shingles.
+    """
     picks = [[r * VALUES + (b % VALUES + r * (b // VALUES)) % VALUES for r in range(ROWS)] for b in range(bands)]
-    return [F.xxhash64(*[F.col(f"m{i}") for i in pick], F.lit(b)) for b, pick in enumerate(picks)]
+    return [F.xxhash64(*[F.col(f"m{i}") for i in pick], F.lit(b)).bitwiseAND(F.lit(-1 << 16)) for b, pick in enumerate(picks)]
 
 
 # -- verification -----------------------------------------------------------------------------------------------------
@@ -237,8 +246,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = _lines(docs, id_col, text_col)
     digest = F.unhex(F.md5("line")).alias("digest")
-    # in the buckets a line is a 64-bit handle; lines that share one are told apart by digest
-    handle = F.xxhash64("line").alias("handle")
+    # in the buckets a line is a 48-bit handle; lines that share one are told apart by digest
+    handle = _handle(F.col("line")).alias("handle")
     lines = rows.select(digest, "line").groupBy("digest").agg(F.any_value("line").alias("line"))
     signed = signatures(lines.select("digest", "line", handle))
     banded = signed.select(F.explode(F.array(*band_keys())).alias("key"), "handle")
