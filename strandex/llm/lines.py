@@ -64,21 +64,34 @@ def _hash(units: Column, at: Column) -> Column:
     return F.xxhash64(F.substring(units, at * 2 + 1, F.lit(2 * SHINGLE)))
 
 
+def _all_hashes(line: Column) -> Column:
+    """The 64-bit hashes of the shingles of a line, repeats included. The lambda isn't compiled, so it does no arithmetic."""
+    return _let(_units(line), lambda u: F.transform(F.sequence(F.lit(1), _last(u) * 2 + 1, F.lit(2)), lambda i: F.xxhash64(F.substring(u, i, F.lit(2 * SHINGLE)))))
+
+
 def shingle_hashes(line: Column) -> Column:
     """The 64-bit hashes of the distinct shingles of a line."""
-    return F.array_distinct(_let(_units(line), lambda u: F.transform(F.sequence(F.lit(0), _last(u)), lambda i: _hash(u, i))))
+    return F.array_distinct(_all_hashes(line))
 
 
 def _similarity(a: Column, b: Column) -> Column:
-    """Jaccard of two arrays of distinct hashes."""
-    both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
+    """Jaccard of the sets of two arrays of hashes."""
+    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, line_no, line)`` of every line that isn't blank, trimmed of outer white space."""
+    """``(doc_id, line_no, line)`` of every line that isn't blank, trimmed of outer white space.
+
+    A line whose first and last byte are ASCII and above the space has nothing to trim, which spares most the slower search.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    return rows.withColumn("line", F.btrim("line", F.lit(WHITE))).where("line <> ''")
+    code = F.col("line").cast("binary")
+    bare = F.lit(True)
+    for at in (1, -1):
+        end = F.substring(code, F.lit(at), F.lit(1))
+        bare = bare & (end > F.lit(b" ")) & (end < F.lit(b"\x80"))
+    trimmed = F.btrim("line", F.lit(WHITE))
+    return rows.where(bare | (trimmed != "")).select("doc_id", "line_no", F.when(bare, F.col("line")).otherwise(trimmed).alias("line"))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -125,8 +138,11 @@ def _ends(pairs: DataFrame, lines: DataFrame, name: str) -> DataFrame:
 def _near(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Edges ``(a, b)`` between digests: the ``pairs(a, b)`` of handles whose lines are alike; ``texts(handle, digest, line)``."""
     both = _ends(_ends(pairs, texts, "a"), texts, "b").where("a_digest <> b_digest")
-    sets = both.select("a_digest", "b_digest", shingle_hashes(F.col("a_line")).alias("sa"), shingle_hashes(F.col("b_line")).alias("sb"))
-    return sets.where(_similarity(F.col("sa"), F.col("sb")) >= least).select(F.col("a_digest").alias("a"), F.col("b_digest").alias("b"))
+    # a filter isn't moved below a column that isn't deterministic; moved, it would make the hashes anew wherever it names them
+    once = F.monotonically_increasing_id().alias("once")
+    sets = both.select("a_digest", "b_digest", _all_hashes(F.col("a_line")).alias("sa"), _all_hashes(F.col("b_line")).alias("sb"), once)
+    near = sets.where((F.col("once") >= 0) & (_similarity(F.col("sa"), F.col("sb")) >= least))
+    return near.select(F.col("a_digest").alias("a"), F.col("b_digest").alias("b"))
 
 
 def _possible(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -154,28 +170,37 @@ def _possible(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def _with_pivots(buckets: DataFrame) -> DataFrame:
-    """``(key, handle, pivot)`` of the buckets with several lines: the pivot is the line that meets most others in all its buckets."""
+    """The rows of ``buckets(key, handle, ...)`` with several lines, with ``pivot``: the line that meets most others in all its buckets.
+
+    Where there are ``size`` and ``place``, those of the pivot are ``pivot_size`` and ``pivot_place``.
+    """
     sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = buckets.join(sizes, "key")
     scores = met.groupBy("handle").agg(F.sum("n").alias("score"))
     scored = cut(met.join(scores, "handle"))
-    pivots = scored.groupBy("key").agg(F.max(F.struct("score", "handle"))["handle"].alias("pivot"))
-    return scored.select("key", "handle").join(pivots, "key")
+    more = [c for c in buckets.columns if c not in ("key", "handle")]
+    pivots = scored.groupBy("key").agg(F.max(F.struct("score", "handle", *more)).alias("top"))
+    pivots = pivots.select("key", F.col("top.handle").alias("pivot"), *[F.col(f"top.{c}").alias(f"pivot_{c}") for c in more])
+    return scored.select("key", "handle", *more).join(pivots, "key")
 
 
 def _stars(buckets: DataFrame) -> DataFrame:
-    """``(a, b)``: each member of ``buckets(key, handle, pivot)`` with the pivot of its bucket."""
-    return buckets.where("handle <> pivot").select(F.col("pivot").alias("a"), F.col("handle").alias("b")).distinct()
+    """``(a, b)``, a < b: each member of ``buckets(key, handle, pivot)`` with the pivot of its bucket."""
+    return buckets.where("handle <> pivot").select(F.least("pivot", "handle").alias("a"), F.greatest("pivot", "handle").alias("b")).distinct()
 
 
 def _open(buckets: DataFrame, texts: DataFrame, edges: DataFrame) -> DataFrame:
-    """``buckets`` with ``root`` and ``n``, where members are of several components; of buckets with the same members, one."""
+    """``buckets`` with ``root`` and ``n``, where members are of several components; of buckets with the same members, one.
+
+    Where there are ``place``s, that one is the bucket of the rarest shingle, which bounds the similarity of its pairs least.
+    """
     roots = connected_components(edges).withColumnRenamed("node", "digest")
     labels = texts.select("handle", "digest").join(roots, "digest", "left").select("handle", F.coalesce("root", "digest").alias("root"))
     members = buckets.join(labels, "handle")
+    at = F.sum("place") if "place" in buckets.columns else F.lit(0)
     mixes = [F.bit_xor(F.xxhash64("handle", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
-    sets = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), *mixes)
-    left = sets.where("n > 2 AND low <> high").groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key", "n")
+    sets = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), *mixes, at.alias("at"))
+    left = sets.where("n > 2 AND low <> high").groupBy("n", "x1", "x2").agg(F.min(F.struct("at", "key"))["key"].alias("key")).select("key", "n")
     return cut(members.join(left, "key"))
 
 
@@ -201,10 +226,19 @@ def _by_rare_shingles(members: DataFrame, texts: DataFrame, least: float) -> Dat
     return cut(rare.select("key", "handle", "size", "place"))
 
 
-def links(shared: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def _may_be_near(a: str, b: str, least: float) -> Column:
+    """Whether two sets can be near of which the shingle at ``place`` of ``size`` in their orders is the first in both.
+
+    A pair that is near passes in the bucket of its first common shingle, where it is a star or, in larger buckets, a pair across components.
+    """
+    both = F.least(F.expr(f"{a}size - {a}place"), F.expr(f"{b}size - {b}place")) + 1
+    return both >= F.expr(f"{a}size + {b}size") * (least / (1 + least)) - 1e-6
+
+
+def links(shared: DataFrame, texts: DataFrame, least: float, twos: DataFrame | None = None) -> DataFrame:
     """Edges ``(a, b)`` between digests that connect what pairs at ``least`` or more connect within buckets of ``shared(key, handle)``.
 
-    First every member of a bucket is compared with the bucket's pivot. Then only buckets of which the members are still in
+    ``twos(a, b)``, a < b, are the handles of buckets with just two members: a pair each, with no pivot to choose. First every member of a bucket is compared with the bucket's pivot. Then only buckets of which the members are still in
     several components matter, and in them only pairs across components: in buckets of up to SMALL members those that bit maps
     don't rule out; larger buckets are dealt anew by their rarest shingles, where the places of a shared shingle in
     both sets bound the similarity. So no pair of a bucket that could connect anything is left out, a large bucket of lines that
@@ -212,6 +246,8 @@ def links(shared: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """
     buckets = cut(_with_pivots(shared))
     stars = _stars(buckets)
+    if twos is not None:
+        stars = cut(stars.unionByName(twos).distinct())
     edges = cut(_near(stars, texts, least))
     left = _open(buckets.select("key", "handle"), texts, edges)
     release(texts.sparkSession)
@@ -219,11 +255,11 @@ def links(shared: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     large = left.where(F.col("n") > SMALL)
     if not large.isEmpty():
         rare = _by_rare_shingles(large, texts, least)
-        again = cut(_with_pivots(rare.select("key", "handle")))
+        again = cut(_with_pivots(rare))
+        again = again.where(_may_be_near("", "pivot_", least))
         edges = cut(edges.unionByName(_near(_stars(again).join(stars, ["a", "b"], "left_anti"), texts, least)).distinct())
         places = _open(rare, texts, edges)
-        both = F.least(F.expr("a_size - a_place"), F.expr("b_size - b_place")) + 1
-        pairs = pairs.unionByName(_across(places, both >= (F.expr("a_size + b_size")) * (least / (1 + least)) - 1e-6)).distinct()
+        pairs = pairs.unionByName(_across(places, _may_be_near("a_", "b_", least))).distinct()
     pairs = cut(pairs.join(stars, ["a", "b"], "left_anti"))
     release(texts.sparkSession)
     return edges.unionByName(_near(_possible(pairs, texts, least), texts, least))
@@ -232,8 +268,8 @@ def links(shared: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 # -- the operator -----------------------------------------------------------------------------------------------------
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = JACCARD) -> DataFrame:
-    """``(doc_id, line_no, keep_doc, keep_line)`` of every line that isn't blank: the occurrence that its component keeps.
+def _classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, line_no, digest)`` of every line that isn't blank, and ``(digest, keep)`` of those that occur or are linked with another: the occurrence kept.
 
     Lines are cut at newlines, numbered from 0 and trimmed of white space. Equal lines are one node (by a 128-bit digest), so a line that is
     everywhere never meets itself; each task combines its copies before any shuffle. A shingle is a run of SHINGLE
@@ -252,27 +288,38 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     signed = signatures(lines.select("digest", "line", handle))
     banded = signed.select(F.explode(F.array(*band_keys())).alias("key"), "handle")
     bucket = Window.partitionBy("key")
-    shared = banded.select("key", "handle", F.max("handle").over(bucket).alias("high"), F.min("handle").over(bucket).alias("low"))
-    shared = cut(shared.where("low <> high").select("key", "handle"))
+    sizes = [F.max("handle").over(bucket).alias("high"), F.min("handle").over(bucket).alias("low"), F.count("*").over(bucket).alias("n")]
+    shared = cut(banded.select("key", "handle", *sizes).where("low <> high").drop("low"))
     release(docs.sparkSession)
     wanted = cut(shared.select("handle").distinct())
     if wanted.count() <= MOST_HANDLES:
         wanted = F.broadcast(wanted)
-    texts = rows.select(handle, "line").join(wanted, "handle", "left_semi").select("handle", "line", digest)
-    texts = cut(texts.groupBy("handle", "digest").agg(F.any_value("line").alias("line")))
-    roots = connected_components(links(shared, texts, least)).withColumnRenamed("node", "digest")
-    found = cut(rows.select("doc_id", "line_no", digest))
-    firsts = found.groupBy("digest").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    linked = cut(roots.join(firsts, "digest"))
-    named = linked.join(linked.groupBy("root").agg(F.min("first").alias("keep")), "root").select("digest", "keep")
-    classes = firsts.join(named, "digest", "left").select("digest", F.when(F.col("keep").isNull(), F.col("first")).otherwise(F.col("keep")).alias("keep"))
-    return found.join(classes, "digest").select("doc_id", "line_no", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line"))
+    # one scan for both: where every line is, and the texts of those that share a bucket
+    found = rows.select("doc_id", "line_no", digest, "line", handle).join(wanted.withColumn("shares", F.lit(True)), "handle", "left")
+    found = cut(found.select("doc_id", "line_no", "digest", F.when(F.col("shares"), F.col("handle")).alias("handle"), F.when(F.col("shares"), F.col("line")).alias("line")))
+    texts = cut(found.where("handle IS NOT NULL").groupBy("handle", "digest").agg(F.any_value("line").alias("line")))
+    twos = shared.where("n = 2 AND handle < high").select(F.col("handle").alias("a"), F.col("high").alias("b"))
+    edges = links(shared.where("n > 2").select("key", "handle"), texts, least, twos)
+    roots = connected_components(edges).withColumnRenamed("node", "digest")
+    found = found.select("doc_id", "line_no", "digest")
+    firsts = found.groupBy("digest").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
+    several = cut(firsts.join(roots, "digest", "left").where("n > 1 OR root IS NOT NULL").select("digest", "first", "root"))
+    keeps = several.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("keep"))
+    classes = several.join(keeps, "root", "left").select("digest", F.when(F.col("keep").isNull(), F.col("first")).otherwise(F.col("keep")).alias("keep"))
+    return found, classes
+
+
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = JACCARD) -> DataFrame:
+    """``(doc_id, line_no, keep_doc, keep_line)`` of every line that isn't blank: the occurrence that its class keeps (:func:`_classes`)."""
+    found, classes = _classes(docs, id_col, text_col, least)
+    keep = [F.when(F.col("keep").isNull(), F.col(own)).otherwise(F.col(f"keep.{own}")).alias(name) for own, name in (("doc_id", "keep_doc"), ("line_no", "keep_line"))]
+    return found.join(classes, "digest", "left").select("doc_id", "line_no", *keep)
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = JACCARD) -> DataFrame:
     """``(doc_id, dropped)``: for each id with lines that go, their numbers in order."""
-    classes = line_classes(docs, id_col, text_col, least)
-    gone = classes.where(~(F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col("line_no") == F.col("keep_line"))))
+    found, classes = _classes(docs, id_col, text_col, least)
+    gone = found.join(classes, "digest").where(~(F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("line_no") == F.col("keep.line_no"))))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
