@@ -170,18 +170,13 @@ def _possible(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def _with_pivots(buckets: DataFrame) -> DataFrame:
-    """The rows of ``buckets(key, handle, ...)`` with several lines, with ``pivot``: the line that meets most others in all its buckets.
-
-    Where there are ``size`` and ``place``, those of the pivot are ``pivot_size`` and ``pivot_place``.
-    """
+    """``(key, handle, pivot)`` of the buckets with several lines: the pivot is the line that meets most others in all its buckets."""
     sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = buckets.join(sizes, "key")
     scores = met.groupBy("handle").agg(F.sum("n").alias("score"))
     scored = cut(met.join(scores, "handle"))
-    more = [c for c in buckets.columns if c not in ("key", "handle")]
-    pivots = scored.groupBy("key").agg(F.max(F.struct("score", "handle", *more)).alias("top"))
-    pivots = pivots.select("key", F.col("top.handle").alias("pivot"), *[F.col(f"top.{c}").alias(f"pivot_{c}") for c in more])
-    return scored.select("key", "handle", *more).join(pivots, "key")
+    pivots = scored.groupBy("key").agg(F.max(F.struct("score", "handle"))["handle"].alias("pivot"))
+    return scored.select("key", "handle").join(pivots, "key")
 
 
 def _stars(buckets: DataFrame) -> DataFrame:
@@ -227,10 +222,7 @@ def _by_rare_shingles(members: DataFrame, texts: DataFrame, least: float) -> Dat
 
 
 def _may_be_near(a: str, b: str, least: float) -> Column:
-    """Whether two sets can be near of which the shingle at ``place`` of ``size`` in their orders is the first in both.
-
-    A pair that is near passes in the bucket of its first common shingle, where it is a star or, in larger buckets, a pair across components.
-    """
+    """Whether two sets can be near if the shingle at ``place`` of ``size`` in their orders is the first they share: a near pair passes in that one's bucket."""
     both = F.least(F.expr(f"{a}size - {a}place"), F.expr(f"{b}size - {b}place")) + 1
     return both >= F.expr(f"{a}size + {b}size") * (least / (1 + least)) - 1e-6
 
@@ -255,8 +247,7 @@ def links(shared: DataFrame, texts: DataFrame, least: float, twos: DataFrame | N
     large = left.where(F.col("n") > SMALL)
     if not large.isEmpty():
         rare = _by_rare_shingles(large, texts, least)
-        again = cut(_with_pivots(rare))
-        again = again.where(_may_be_near("", "pivot_", least))
+        again = cut(_with_pivots(rare.select("key", "handle")))
         edges = cut(edges.unionByName(_near(_stars(again).join(stars, ["a", "b"], "left_anti"), texts, least)).distinct())
         places = _open(rare, texts, edges)
         pairs = pairs.unionByName(_across(places, _may_be_near("a_", "b_", least))).distinct()
